@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from tracewright.llm.packing import op5_packing
 from tracewright.llm.simhash_dedup import op7_simhash_dedup
 
 QUERIES = {
+    "op5_packing": op5_packing,
     "op7_simhash_dedup": op7_simhash_dedup,
 }
 
