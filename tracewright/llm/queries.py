@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from tracewright.llm.packing import op5_packing
+from tracewright.llm.secrets import op9_secrets
 from tracewright.llm.simhash_dedup import op7_simhash_dedup
 
 QUERIES = {
     "op5_packing": op5_packing,
     "op7_simhash_dedup": op7_simhash_dedup,
+    "op9_secrets": op9_secrets,
 }
 
 ORACLES: dict[str, str] = {}
