@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tracewright.llm.langid import op8_langid
 from tracewright.llm.packing import op5_packing
 from tracewright.llm.secrets import op9_secrets
 from tracewright.llm.simhash_dedup import op7_simhash_dedup
@@ -9,6 +10,7 @@ from tracewright.llm.simhash_dedup import op7_simhash_dedup
 QUERIES = {
     "op5_packing": op5_packing,
     "op7_simhash_dedup": op7_simhash_dedup,
+    "op8_langid": op8_langid,
     "op9_secrets": op9_secrets,
 }
 
