@@ -36,6 +36,14 @@ class Model:
     bias: np.ndarray
     temperature: float
 
+    def judge(self, text: str) -> tuple[str, float] | None:
+        """The likeliest language of a text that letters() returned, and its probability; None without a letter."""
+        if not text:
+            return None
+        at, counts = grams(text)
+        p = softmax((vector(at, counts, self.idf) @ self.weights[at] + self.bias) / self.temperature)
+        return self.languages[int(p.argmax())], float(p.max())
+
 
 def letters(texts: pa.Array) -> list[str]:
     """Lower-cased texts with every run of other characters as one space; null is empty."""
@@ -179,16 +187,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            names, scores = [], []
-            for t in letters(b.column(b.num_columns - 1)):
-                if not t or model is None:
-                    names.append(UNDETERMINED)
-                    scores.append(0.0)
-                    continue
-                at, counts = grams(t)
-                p = softmax((vector(at, counts, model.idf) @ model.weights[at] + model.bias) / model.temperature)
-                names.append(model.languages[int(p.argmax())])
-                scores.append(float(p.max()))
+            found = [(model.judge(t) if model else None) or (UNDETERMINED, 0.0) for t in letters(b.column(b.num_columns - 1))]
+            names, scores = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*rest, "lang_pred", "score"])
 
     return docs.select(*rest, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
@@ -214,3 +214,21 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+def select_clear(docs: DataFrame, least_score: float) -> DataFrame:
+    """The rows of docs, with all their columns, whose predicted language has at least that score; und rows go.
+
+    The model learns as in identify(); rows are filtered in the scan, without a shuffle.
+    """
+    bounded_batches(docs.sparkSession)
+    lean = docs.select(F.col("doc_id").cast("string").alias("key"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    model = train(lean.where(~held_out(F.col("key"))))
+    text = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            found = [model.judge(t) if model else None for t in letters(b.column(text).cast(pa.string()))]
+            yield b.filter(pa.array([x is not None and x[1] >= least_score for x in found]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from tracewright.llm.decontaminate import op2_decontaminate
 from tracewright.llm.langid import op8_langid
 from tracewright.llm.packing import op5_packing
 from tracewright.llm.secrets import op9_secrets
 from tracewright.llm.simhash_dedup import op7_simhash_dedup
 
 QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
     "op5_packing": op5_packing,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_langid": op8_langid,
@@ -15,3 +17,12 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {}
+
+
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = _pipeline
