@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tracewright.llm.decontaminate import op2_decontaminate
+from tracewright.llm.html_text import op6_html_text
 from tracewright.llm.langid import op8_langid
 from tracewright.llm.packing import op5_packing
 from tracewright.llm.secrets import op9_secrets
@@ -11,6 +12,7 @@ from tracewright.llm.simhash_dedup import op7_simhash_dedup
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op5_packing": op5_packing,
+    "op6_html_text": op6_html_text,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_langid": op8_langid,
     "op9_secrets": op9_secrets,
