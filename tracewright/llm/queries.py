@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tracewright.llm.decontaminate import op2_decontaminate
+from tracewright.llm.embedding_dedup import op10_embedding_dedup
 from tracewright.llm.html_text import op6_html_text
 from tracewright.llm.langid import op8_langid
 from tracewright.llm.packing import op5_packing
@@ -16,6 +17,7 @@ QUERIES = {
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_langid": op8_langid,
     "op9_secrets": op9_secrets,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 ORACLES: dict[str, str] = {}
