@@ -39,6 +39,13 @@ def bounded_batches(spark: SparkSession, rows: int = 512, mb: int = 8) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
+def plain(texts: pa.Array) -> pa.Array:
+    """Texts as large strings, null as empty. A slice is copied: some string kernels misread the bytes of one."""
+    if texts.offset:
+        texts = pa.array(texts.to_pylist(), texts.type)
+    return pc.fill_null(texts.cast(pa.large_string()), "")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x.astype(np.uint64, copy=True)
@@ -57,8 +64,7 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """
     import xxhash
 
-    plain = pc.fill_null(texts.cast(pa.large_string()), "")
-    spaced = pc.replace_substring_regex(pc.utf8_lower(plain), r"[^\p{L}\p{N}]+", " ")
+    spaced = pc.replace_substring_regex(pc.utf8_lower(plain(texts)), r"[^\p{L}\p{N}]+", " ")
     lists = pc.split_pattern(pc.utf8_trim(spaced, " "), " ")
     offsets = np.asarray(lists.offsets, dtype=np.int64)
     coded = lists.flatten().dictionary_encode()

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm._common import bounded_batches, read
+from tracewright.llm._common import bounded_batches, plain, read
 
 UNDETERMINED = "und"
 #: Hash buckets of n-grams of 1 to ORDERS characters.
@@ -47,8 +47,7 @@ class Model:
 
 def letters(texts: pa.Array) -> list[str]:
     """Lower-cased texts with every run of other characters as one space; null is empty."""
-    plain = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    return pc.utf8_trim(pc.replace_substring_regex(plain, r"[^\p{L}\p{M}]+", " "), " ").to_pylist()
+    return pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(plain(texts)), r"[^\p{L}\p{M}]+", " "), " ").to_pylist()
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:

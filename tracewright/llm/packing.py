@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewright.llm._common import bounded_batches, read, stash
+from tracewright.llm._common import bounded_batches, plain, read, stash
 
 SEQUENCE = 4096
 #: Id appended to each document.
@@ -63,8 +63,7 @@ class WordIds:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of a batch."""
-        plain = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-        spaced = pc.replace_substring(pc.replace_substring_regex(plain, r"([\p{L}\p{N}])([.,])", r"\1 \2"), "\n", " ")
+        spaced = pc.replace_substring(pc.replace_substring_regex(pc.ascii_lower(plain(texts)), r"([\p{L}\p{N}])([.,])", r"\1 \2"), "\n", " ")
         lists = pc.split_pattern(spaced, " ")
         offsets = np.asarray(lists.offsets, dtype=np.int64)
         coded = lists.flatten().dictionary_encode()
