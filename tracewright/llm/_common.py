@@ -57,14 +57,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased runs of letters and digits of each text as 64-bit hashes: (offsets, hashes).
+def hashed_words(texts: pa.Array, marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each text as 64-bit hashes: (offsets, hashes). A null text has none.
 
-    A null text has no words. Each distinct word of the batch is hashed once.
+    Words are lower-cased runs of letters and digits; with marks, the case stays and runs of other
+    characters than white space are words, too. Each distinct word of the batch is hashed once.
     """
     import xxhash
 
-    spaced = pc.replace_substring_regex(pc.utf8_lower(plain(texts)), r"[^\p{L}\p{N}]+", " ")
+    if marks:
+        apart = pc.replace_substring_regex(plain(texts), r"([^\p{L}\p{N}\s]+)", r" \1 ")
+        spaced = pc.replace_substring_regex(apart, r"[\s\p{Z}]+", " ")
+    else:
+        spaced = pc.replace_substring_regex(pc.utf8_lower(plain(texts)), r"[^\p{L}\p{N}]+", " ")
     lists = pc.split_pattern(pc.utf8_trim(spaced, " "), " ")
     offsets = np.asarray(lists.offsets, dtype=np.int64)
     coded = lists.flatten().dictionary_encode()

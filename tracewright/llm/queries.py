@@ -5,12 +5,14 @@ from __future__ import annotations
 from tracewright.llm.decontaminate import op2_decontaminate
 from tracewright.llm.embedding_dedup import op10_embedding_dedup
 from tracewright.llm.html_text import op6_html_text
+from tracewright.llm.importance import op1_importance
 from tracewright.llm.langid import op8_langid
 from tracewright.llm.packing import op5_packing
 from tracewright.llm.secrets import op9_secrets
 from tracewright.llm.simhash_dedup import op7_simhash_dedup
 
 QUERIES = {
+    "op1_importance": op1_importance,
     "op2_decontaminate": op2_decontaminate,
     "op5_packing": op5_packing,
     "op6_html_text": op6_html_text,
