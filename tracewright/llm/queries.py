@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tracewright.llm import chat
 from tracewright.llm.decontaminate import op2_decontaminate
 from tracewright.llm.embedding_dedup import op10_embedding_dedup
 from tracewright.llm.html_text import op6_html_text
@@ -14,6 +15,7 @@ from tracewright.llm.simhash_dedup import op7_simhash_dedup
 QUERIES = {
     "op1_importance": op1_importance,
     "op2_decontaminate": op2_decontaminate,
+    "op3_chat": chat.op3_chat,
     "op5_packing": op5_packing,
     "op6_html_text": op6_html_text,
     "op7_simhash_dedup": op7_simhash_dedup,
@@ -22,7 +24,7 @@ QUERIES = {
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_chat": chat.ORACLE}
 
 
 def _pipeline(spark, sf_dir):
