@@ -8,6 +8,7 @@ from tracewright.llm.embedding_dedup import op10_embedding_dedup
 from tracewright.llm.html_text import op6_html_text
 from tracewright.llm.importance import op1_importance
 from tracewright.llm.langid import op8_langid
+from tracewright.llm.licenses import op4_licenses
 from tracewright.llm.packing import op5_packing
 from tracewright.llm.secrets import op9_secrets
 from tracewright.llm.simhash_dedup import op7_simhash_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_importance": op1_importance,
     "op2_decontaminate": op2_decontaminate,
     "op3_chat": chat.op3_chat,
+    "op4_licenses": op4_licenses,
     "op5_packing": op5_packing,
     "op6_html_text": op6_html_text,
     "op7_simhash_dedup": op7_simhash_dedup,
