@@ -19,7 +19,7 @@ END = 2
 #: Lengths are priced in units of so many tokens; a class holds the lengths that round up to it.
 UNIT = 8
 #: Words whose ids a worker keeps.
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 400_000
 #: Stop when the linear program is proven within this share of its optimum.
 GAP = 5e-4
 ROUNDS = 4000
@@ -27,11 +27,18 @@ ROUNDS = 4000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+def byte_letters() -> dict[int, int]:
+    """The characters that byte-level tokenizers write bytes as: printable ones stand for themselves, the others for 256 and up in order."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: b if b in own else 256 + k for k, b in enumerate([*own, *(b for b in range(256) if b not in own)], -len(own))}
+
+
 class WordIds:
     """Ids of whole texts from a tokenizers file whose pieces never cross white space.
 
     Every distinct word goes through the tokenizer once and its ids are kept, up to KNOWN_WORDS words.
-    Lower-casing A-Z and a space before a full stop or comma that follows a letter or digit change no
+    A word of letters only is one piece, which goes to the tokenizer's model after its normaliser; other
+    words go through the whole tokenizer. Lower-casing A-Z and a space before a full stop or comma that follows a letter or digit change no
     id: the tokenizer lower-cases and starts a new piece there itself. Both only make words repeat more.
     """
 
@@ -40,8 +47,20 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.bytes = byte_letters()
         self.forget()
 
+    def ids(self, words: list[str]) -> list[list[int]]:
+        """Ids of words without white space."""
+        normal = self.tokenizer.normalizer.normalize_str(" ".join(words)).split(" ") if self.tokenizer.normalizer else words
+        model, known = self.tokenizer.model, self.bytes
+        whole = len(normal) == len(words)
+        out = [[t.id for t in model.tokenize(n if n.isascii() else n.encode().decode("latin-1").translate(known))] if n.isalpha() else None for n in normal] if whole else [None] * len(words)
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, e in zip(rest, self.tokenizer.encode_batch([words[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = e.ids
+        return out
+
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -51,8 +70,7 @@ class WordIds:
         starts, sizes, flats = [self.starts], [self.sizes], [self.flat]
         at, end = len(self.starts), len(self.flat)
         for k in range(0, len(words), 4096):
-            part = words[k : k + 4096]
-            ids = [e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
+            ids = self.ids(words[k : k + 4096])
             n = np.fromiter(map(len, ids), np.int64, len(ids))
             flats.append(np.fromiter((i for x in ids for i in x), np.uint32, int(n.sum())))
             starts.append(end + np.cumsum(n) - n)
