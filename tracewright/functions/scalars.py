@@ -268,13 +268,13 @@ def format_k(n: Column) -> Column:
 
 
 def format_ms(ms: Column) -> Column:
-    """SK9."""
+    """SK9. Half a hundredth of a second goes up."""
     return F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).otherwise(F.format_string("%.2fs", ms / F.lit(1000.0)))
 
 
 def format_bytes(n: Column) -> Column:
     """SK9."""
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit("B"))).when(n < 1 << 20, F.format_string("%.1fKB", n / F.lit(1024.0))).otherwise(F.format_string("%.1fMB", n / F.lit(1048576.0)))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit("B"))).when(n < 1 << 20, F.format_string("%.1fKB", F.bround(n / F.lit(1024.0), 1))).otherwise(F.format_string("%.1fMB", F.bround(n / F.lit(1048576.0), 1)))
 
 
 def format_duration(seconds: Column) -> Column:
@@ -291,7 +291,7 @@ def format_age(seconds: Column) -> Column:
 
 def format_size_k(n: Column) -> Column:
     """SK9: whole KiB without a decimal."""
-    return F.when(n % 1024 == 0, F.format_string("%dK", F.floor(n / 1024))).otherwise(F.format_string("%.1fK", n / F.lit(1024.0)))
+    return F.when(n % 1024 == 0, F.format_string("%dK", F.floor(n / 1024))).otherwise(F.format_string("%.1fK", F.bround(n / F.lit(1024.0), 1)))
 
 
 def smaller_of(compact: Column, raw: Column) -> Column:

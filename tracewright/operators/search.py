@@ -39,11 +39,12 @@ def pattern_regex(pattern: str, word: bool = False, regex: bool = False, ignore_
 
 
 def offsets(text: Column, regex: str) -> Column:
-    """Byte offsets of the matches, left to right, that don't overlap."""
+    """Byte offsets of the matches, left to right, that don't overlap: one pass over matches and what lies between them."""
     found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    between = F.split(text, regex, -1)
-    # the k-th match starts after k + 1 pieces and k matches
-    return F.transform(found, lambda m, k: F.aggregate(F.slice(between, F.lit(1), k + 1), F.lit(0), lambda a, s: a + F.octet_length(s)) + F.aggregate(F.slice(found, F.lit(1), k), F.lit(0), lambda a, s: a + F.octet_length(s)))
+    both = F.zip_with(F.slice(F.split(text, regex, -1), F.lit(1), F.size(found)), found, lambda between, match: F.struct(F.octet_length(between).alias("b"), F.octet_length(match).alias("m")))
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("at"))
+    run = F.aggregate(both, start, lambda a, x: F.struct((a["end"] + x["b"] + x["m"]).alias("end"), F.array_append(a["at"], a["end"] + x["b"]).alias("at")))
+    return run["at"]
 
 
 def hits(rows: DataFrame, patterns: list[str], word: bool = False, regex: bool = False, ignore_case: bool = False) -> DataFrame:
