@@ -16,6 +16,8 @@ SMOOTHING = 1.0
 #: Share of the rows to sample.
 KEEP = 0.8
 SEED = 17
+#: Labelled documents that the target model is fitted on at most, drawn by a hash of the id.
+TARGETS = 50_000
 #: Bits of the key that one step of the selection fixes.
 STEP = 16
 
@@ -95,7 +97,8 @@ def threshold(keys: DataFrame, k: int) -> tuple[int, int]:
 def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP, seed: int = SEED) -> DataFrame:
     """(doc_id, n_grams, log_weight, gumbel_key, selected) for every row of docs(doc_id, text).
 
-    Target text is that of documents whose label has quality 1 and isn't toxic; raw text is all text.
+    Target text is that of documents whose label has quality 1 and isn't toxic, TARGETS of them at most;
+    raw text is all text, and every document is weighed.
     log_weight is the log of the ratio of the two bag models over the document's hashed words and
     word pairs, per n-gram and times the square root of their number, so that length alone decides
     little. gumbel_key adds noise that follows from the seed, the id and the text; the ceil(keep * rows)
@@ -107,9 +110,9 @@ def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP, seed: int =
     """
     bounded_batches(docs.sparkSession)
     marks = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.coalesce(F.max("quality"), F.lit(0)) == 1).alias("good"), (F.coalesce(F.max("toxic"), F.lit(0)) == 1).alias("bad"))
-    good = marks.where("doc_id IS NOT NULL AND good AND NOT bad").select("doc_id", F.lit(True).alias("target"))
+    good = marks.where("doc_id IS NOT NULL AND good AND NOT bad").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(TARGETS).select("doc_id", F.lit(True).alias("target"))
     lean = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = lean.join(good, "doc_id", "left").select("row", "doc_id", F.coalesce("target", F.lit(False)).alias("target"), "text")
+    marked = lean.join(F.broadcast(good), "doc_id", "left").select("row", "doc_id", F.coalesce("target", F.lit(False)).alias("target"), "text")
     ratio = log_ratio(*bucket_counts(marked))
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)), F.lit(1 << 52))
     noise = -F.log(-F.log((draw + 0.5) / F.lit(float(1 << 52))))
