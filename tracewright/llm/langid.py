@@ -169,7 +169,8 @@ def train(labelled: DataFrame) -> Model | None:
     chosen = labelled.where(draw < F.element_at(share, F.col("lang"))).select("lang", "text").mapInArrow(run, "lang string, at binary, counts binary")
     place = {lang: k for k, lang in enumerate(languages)}
     rows = []
-    for r in chosen.limit(2 * SAMPLE).toLocalIterator():
+    # rows arrive in any order; the learner takes them in one of its own, so that it learns the same each time
+    for r in sorted(chosen.limit(2 * SAMPLE).toLocalIterator(), key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["counts"]))):
         at = np.frombuffer(r["at"], "<i4")
         if len(at):
             rows.append((at, vector(at, np.frombuffer(r["counts"], "<i4"), idf), place[r["lang"]]))
