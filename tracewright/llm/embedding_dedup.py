@@ -223,9 +223,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
 def _of_size(points: DataFrame, d: int, cosine: float, sample: int) -> tuple[DataFrame, DataFrame]:
     """(node, links) and edges (a, b) of the points of one length."""
     n = points.count()
-    draw = F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(1 << 20)) < F.lit(int(min(1.0, sample / n) * (1 << 20)))
+    draw = F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(1 << 20)) < F.lit(int(min(1.0, sample / n) * (1 << 20)))
     drawn = points.where(draw).select("x").limit(2 * sample).toArrow() if n > 1 else None
     x = matrix(drawn.column("x")) if drawn is not None and drawn.num_rows else np.eye(1, d)
+    x = x[np.lexsort(x.T[::-1])]  # rows arrive in any order; the fit is the same each time
     index = fit(x, n, next(m for m in range(min(SUBSPACES, d), 0, -1) if d % m == 0))
     placed = stash(assigned(points, index), "vector-lists")
     sizes = placed.select(F.posexplode("lists").alias("place", "list")).groupBy("list").agg(F.count_if(F.col("place") == 0).alias("members"), F.count("*").alias("searchers"))
