@@ -212,10 +212,11 @@ def deduplicate(docs: DataFrame, **params) -> DataFrame:
     """The rows of docs, with all their columns, that stand for their component: those whose doc_id is its component_id.
 
     Of rows that repeat such a doc_id one stays. If all ids of a component are null, one of its rows stays.
+    The ids that stay are nearly as many as the rows, so rows and ids meet in a sort-merge join at any size.
     """
     found = near_duplicates(docs, **params).where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
     kept = stash(found, "simhash-kept")
-    some = lambda rows: docs.join(kept.where(rows), docs["doc_id"].cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    some = lambda rows: docs.join(kept.where(rows).hint("merge"), docs["doc_id"].cast("long").eqNullSafe(F.col("_kept")), "left_semi")
     once = some("_rows = 1")
     if kept.where("_rows > 1").isEmpty():
         return once
