@@ -113,3 +113,11 @@ def test_odd_embeddings(spark):
     alone = [(k, 0, k, True) for k in (3, 4, 5, 6, 7, 9, 10)]
     assert got == sorted([(0, 0, None, True), (1, 3, 1, True), (2, 3, 1, False), (8, 3, 1, False), (8, 3, 1, False), *alone])
     assert E.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Null ids aren't one document, and an id stays in each component in which it is smallest."""
+    texts = ["alpha beta gamma delta", "one two three four five", "red green blue black white"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (4, texts[2]), (None, texts[2]), (4, "quite another text of the same id"), (9, texts[2])]
+    got = sorted((r.doc_id or 0, r.text) for r in S.deduplicate(docs(spark, rows)).collect())
+    assert got == sorted([(0, texts[0]), (0, texts[1]), (4, texts[2]), (4, "quite another text of the same id")])

@@ -33,6 +33,11 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, label: str) -> DataFrame:
+    """docs as a table with a number for each row, _row, that stays the same however often it is read."""
+    return stash(docs.withColumn("_row", F.monotonically_increasing_id()), label)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 512, mb: int = 8) -> None:
     """Arrow batches of so many rows and bytes at most, so that a run of long texts can't fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

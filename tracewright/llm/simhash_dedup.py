@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm._common import bounded_batches, hex16, read, stash
+from tracewright.llm._common import bounded_batches, hex16, numbered, read, stash
 from tracewright.llm.components import connected
 
 RADIUS = 2
@@ -209,15 +209,15 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, **params) -> DataFrame:
-    """The rows of docs, with all their columns, that stand for their component: those whose doc_id is its component_id.
+    """The rows of docs, with all their columns, that stand for their component: one row of the smallest doc_id of each.
 
-    Of rows that repeat such a doc_id one stays. If all ids of a component are null, one of its rows stays.
-    The ids that stay are nearly as many as the rows, so rows and ids meet in a sort-merge join at any size.
+    Of rows that repeat such a doc_id in a component the first stays; a component whose ids are all null keeps its first row.
+    The rows that stay are nearly as many as all, so they meet in a sort-merge join at any size.
     """
-    found = near_duplicates(docs, **params).where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
-    kept = stash(found, "simhash-kept")
-    some = lambda rows: docs.join(kept.where(rows).hint("merge"), docs["doc_id"].cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    once = some("_rows = 1")
-    if kept.where("_rows > 1").isEmpty():
-        return once
-    return once.unionByName(some("_rows > 1").dropDuplicates(["doc_id"]))
+    rows = numbered(docs, "simhash-rows")
+    # the number of the row takes the place of the id, so that each row finds its own component
+    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), **params).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("component"))
+    ids = rows.select("_row", F.col("doc_id").cast("long").alias("doc_id"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))["_row"]
+    kept = stash(found.join(ids, "_row").groupBy("component").agg(least.alias("_row")).select("_row"), "simhash-kept")
+    return rows.join(kept.hint("merge"), "_row", "left_semi").select(*docs.columns)
