@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import decontaminate, langid, packing, secrets, simhash_dedup
+from tracewright.llm import decontaminate, langid, packing, secrets, shingle_dedup
 from tracewright.llm._common import read, stash
 
 #: Least calibrated probability of the predicted language; with less, the language isn't clear.
@@ -18,8 +18,8 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies."""
-    return simhash_dedup.deduplicate(docs)
+    """One document, that of the smallest id, of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return shingle_dedup.deduplicate(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 
@@ -41,3 +42,52 @@ def test_pipeline_step_by_step(spark, tiny):
     got = corpus_pipeline.run(spark, tiny).collect()
     assert sum(r.length for r in got) == sum(map(len, want.values()))
     assert all(zlib.crc32(want[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in got)
+
+
+def brute_kept(rows):
+    """Of each group that chains of pairs with five-word Jaccard similarity of 0.8 or more join, the smallest id."""
+
+    def shingles(text):
+        words = (text or "").lower().split()
+        size = min(5, len(words))
+        return {" ".join(words[k : k + size]) for k in range(len(words) - size + 1)} if words else set()
+
+    sets = {k: shingles(t) for k, t in rows}
+    root = {k: k for k in sets}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in sets:
+        for b in sets:
+            x, y = sets[a], sets[b]
+            if b < a and (5 * len(x & y) >= 4 * len(x | y)) and find(a) != find(b):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return sorted({find(k) for k in sets})
+
+
+def test_near_dedup_against_brute_force_jaccard(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").limit(200)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    kept = corpus_pipeline.near_duplicates(spark, docs, tiny)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == brute_kept(rows)
+    # a large group around one text, at similarities on both sides of 0.8, chains, a common line and texts without words
+    rng = random.Random(5)
+    base, line = [f"w{k}" for k in range(120)], [f"c{k}" for k in range(25)]
+    rows = [(0, ""), (1, None), (2, " ".join(base)), (3, "one two"), (4, "One  two"), (5, "one two three")]
+    for k in range(10, 70):
+        words = list(base)
+        for at in rng.sample(range(120), rng.randrange(1, 6)):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    rows += [(k, " ".join(base[: 118 - k + 100] + [f"y{k}"])) for k in range(100, 130)]
+    rows += [(k, " ".join([*line, *(f"z{rng.randrange(10**6)}" for _ in range(rng.randrange(2, 40)))])) for k in range(200, 240)]
+    rng.shuffle(rows)
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), tiny)
+    assert sorted(r.doc_id for r in kept.collect()) == brute_kept(rows)
+    same = [(None, "a b c d e f"), (None, "g h i j k l"), (7, "a b c d e f"), (7, "m n o p q r"), (7, "m n o p q r")]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(same, "doc_id long, text string"), tiny)
+    assert sorted(r.text for r in kept.collect()) == ["a b c d e f", "g h i j k l", "m n o p q r"]
+

@@ -1,0 +1,158 @@
+"""Near copies by shingles: every pair of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tracewright.llm._common import bounded_batches, numbered, stash
+from tracewright.llm.components import connected
+
+SHINGLE = 5
+#: Least similarity as a fraction, so that counts are compared as integers.
+PART, WHOLE = 4, 5
+#: Texts from which the common shingles are learnt, and how many of those are kept. They set only the order of shingles, not the result.
+SAMPLE, COMMON = 20_000, 100_000
+SEED = 42
+
+
+def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
+    """The distinct shingles of one text as sorted 64-bit hashes; a text of fewer words is one shingle, one without words has none."""
+    import xxhash
+
+    words = text.lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    n = max(1, len(words) - size + 1)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
+    ends = ends[min(size, len(words)) - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, ends, strict=True)), np.uint64, n))
+
+
+def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted shingles, counts) of those that at least one in a thousand of a sample of the texts has."""
+    n = rows.count()
+    some = rows.where(F.pmod(F.xxhash64("_row"), F.lit(1 << 20)) < int(min(1.0, SAMPLE / max(n, 1)) * (1 << 20)))
+
+    def run(batches):
+        for b in batches:
+            for t in b.column(0).cast(pa.large_binary()).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t or b"").view(np.int64))], ["token"])
+
+    least = max(3, min(n, SAMPLE) // 1000)
+    counted = some.select(F.col("text").cast("string")).mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    found = counted.orderBy(F.desc("n"), "token").limit(COMMON).collect()
+    token, count = np.array([r["token"] for r in found], np.int64).view(np.uint64), np.array([r["n"] for r in found], np.int64)
+    order = np.argsort(token)
+    return token[order], count[order]
+
+
+def prefixes(rows: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(row, n, digest, score, prefix) of every text: size and digest of its set, how common its shingles are, and its first fifth and one more.
+
+    Sets of similarity PART / WHOLE share a shingle of these prefixes in any order that all texts keep; here the common come last.
+    """
+    tokens, counts = common
+
+    def run(batches):
+        import xxhash
+
+        for b in batches:
+            out = []
+            for row, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
+                own = shingles(t or b"")
+                n, rank = len(own), np.zeros(len(own), np.int64)
+                if n and len(tokens):
+                    at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
+                    rank = np.where(tokens[at] == own, counts[at], 0)
+                first = own[np.argsort(rank, kind="stable")[: n - -(-PART * n // WHOLE) + 1]] if n else own
+                out.append((row, n, xxhash.xxh3_128_hexdigest(own.tobytes()), int(rank.sum() * 1000 // n) if n else 0, first.view(np.int64)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+    types, names = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64())], ["row", "n", "digest", "score", "prefix"]
+    return rows.select("_row", F.col("text").cast("string").alias("text")).mapInArrow(run, "row long, n long, digest string, score long, prefix array<long>")
+
+
+def near_enough(shared, n, m):
+    """Whether sets of n and m shingles that share so many, at most, can have the least similarity."""
+    return shared * (PART + WHOLE) >= (n + m) * PART
+
+
+def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs(a, b) of rows whose sets have the least similarity, by their whole sets."""
+
+    def sets(batches):
+        for b in batches:
+            own = [shingles(t or b"").tobytes() for t in b.column(1).cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], ["row", "own"])
+
+    def run(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                keep.append(near_enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    used = pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
+    own = stash(rows.select("_row", F.col("text").cast("string").alias("text")).join(used, "_row").mapInArrow(sets, "row long, own binary"), "shingles-sets")
+    x, y = own.select(F.col("row").alias("a"), F.col("own").alias("x")), own.select(F.col("row").alias("b"), F.col("own").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def components(rows: DataFrame) -> DataFrame:
+    """(row, root) for every row of rows(_row, text): root is one row for each group that chains of near copies join.
+
+    Texts of the same set are one node. Nodes that share a shingle of their prefixes are candidates, and whole sets
+    decide. In each bucket of a shingle all nodes first meet its most common one, which settles a large group of copies
+    by as many pairs as it has nodes; then all pairs of nodes that are still apart and whose sizes and places of the shingle
+    leave room for the similarity. No pair is left out: two nodes that aren't compared are joined already or can't be near.
+    """
+    bounded_batches(rows.sparkSession)
+    marked = stash(prefixes(rows, common_shingles(rows)), "shingles-prefixes")
+    digests = stash(marked.groupBy("digest").agg(F.min("row").alias("node")), "shingles-nodes")
+    entries = marked.join(digests.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "n", "score", F.posexplode("prefix").alias("at", "token"))
+    shared = entries.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
+    entries = stash(entries.join(shared, "token"), "shingles-entries")
+
+    room = lambda x, y: near_enough(F.least(F.col(f"{x}n") - F.col(f"{x}at"), F.col(f"{y}n") - F.col(f"{y}at")), F.col(f"{x}n"), F.col(f"{y}n"))
+    pair = [F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")]
+    centre = entries.groupBy("token").agg(F.max(F.struct("score", "node", "n", "at")).alias("c")).select("token", F.col("c.node").alias("c_node"), F.col("c.n").alias("c_n"), F.col("c.at").alias("c_at"))
+    first = stash(entries.join(centre, "token").where((F.col("node") != F.col("c_node")) & room("", "c_")).select(*pair).distinct(), "shingles-pairs")
+    edges = stash(verified(first, rows), "shingles-links")
+    roots = connected(edges, "shingles")
+
+    apart = entries.drop("score").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    for _ in range(2):
+        # a node whose shingle stands too late even for the smallest other set of the bucket has no partner there
+        buckets = apart.groupBy("token").agg(F.min("n").alias("least"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token", "least")
+        apart = stash(apart.join(buckets, "token").where(near_enough(F.col("n") - F.col("at"), F.col("n"), F.greatest(F.col("least"), F.ceil(F.col("n") * PART / WHOLE)))).drop("least"), "shingles-apart")
+    buckets = apart.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    apart = apart.join(buckets, "token")
+    other = apart.select("token", *[F.col(c).alias(f"c_{c}") for c in ("node", "n", "at", "root")])
+    rest = apart.join(other, "token").where((F.col("node") < F.col("c_node")) & (F.col("root") != F.col("c_root")) & room("", "c_")).select(*pair).distinct()
+    rest = stash(rest.join(first, ["a", "b"], "left_anti"), "shingles-pairs")
+    if not rest.isEmpty():
+        edges = edges.unionByName(stash(verified(rest, rows), "shingles-links"))
+        roots = connected(edges, "shingles")
+    of_digest = digests.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
+    return marked.select("row", "digest").join(of_digest, "digest").select("row", "root")
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that stand for their group of near copies: the one of the smallest doc_id, and of such rows the first.
+
+    Words are runs without ASCII white space after lower-casing A-Z. A null doc_id is never smallest. Texts without words are copies of
+    each other. No rows give no rows.
+    """
+    rows = numbered(docs, "shingles-rows")
+    ids = rows.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"]
+    kept = stash(components(rows).join(ids, "row").groupBy("root").agg(least.alias("_row")).select("_row"), "shingles-kept")
+    return rows.join(kept.hint("merge"), "_row", "left_semi").select(*docs.columns)
