@@ -278,3 +278,10 @@ def test_secrets(spark):
     clean = {r.doc_id: r for r in secrets.redact(rows).collect()}
     assert clean[0].text == "é [secret]' end" and clean[0].n_chars == len(clean[0].text) and clean[7].text == texts[7] and clean[3].text is None
     assert secrets.redact(rows).columns == rows.columns and secrets.secret_spans(rows.limit(0)).count() == 0
+
+
+def test_redact_by_row(spark):
+    key = ["password = hunter2secret9X", "token: q8Zr41LmNv77pQ", "secret=Jk82nVbX90aa1"]
+    rows = docs(spark, [(None, f"a {key[0]} b", "en", "s0"), (None, f"other text {key[1]} c", "en", "s1"), (5, f"{key[2]} at the start", "en", "s2"), (5, f"a much longer text of the same id, then {key[0][:-1]}Q end", "en", "s3"), (5, "no secret in this one, only words", "en", "s4")])
+    got = sorted(r.text for r in secrets.redact(rows).collect())
+    assert got == sorted(["a [secret] b", "other text [secret] c", "[secret] at the start", "a much longer text of the same id, then [secret] end", "no secret in this one, only words"])

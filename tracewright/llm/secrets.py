@@ -8,10 +8,10 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm._common import bounded_batches, read, stash
+from tracewright.llm._common import bounded_batches, numbered, read, stash
 
 #: Kinds of base spans in the order that breaks ties: pattern, group whose length counts, least length.
 BASE = (
@@ -59,8 +59,8 @@ def entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
 
 
-def scanned(docs: DataFrame, repository: str, owner: str) -> DataFrame:
-    """One row per row of docs with its spans; values leave the scan only as SHA-256."""
+def scanned(docs: DataFrame, repository: str, owner: str, row: Column | None = None) -> DataFrame:
+    """One row per row of docs with its spans, numbered by row if given; values leave the scan only as SHA-256."""
 
     def run(batches):
         for b in batches:
@@ -77,7 +77,7 @@ def scanned(docs: DataFrame, repository: str, owner: str) -> DataFrame:
 
     candidate = pa.struct([("kind", pa.string()), ("at", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("entropy", pa.float64())])
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("repository", pa.string()), ("owner", pa.string()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("candidates", pa.list_(candidate))])
-    lean = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(repository).cast("string").alias("repository"), F.col(owner).cast("string").alias("owner"), F.col("text").cast("string").alias("text"))
+    lean = docs.select((F.monotonically_increasing_id() if row is None else row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(repository).cast("string").alias("repository"), F.col(owner).cast("string").alias("owner"), F.col("text").cast("string").alias("text"))
     return lean.mapInArrow(run, SCANNED)
 
 
@@ -102,8 +102,13 @@ def secret_spans(docs: DataFrame, repository: str = "source", owner: str = "sour
     empty string); a null repository or owner counts as none; repeated rows are each reported and count
     once for their owner; overlapping spans of different kinds all stay. No rows give no rows.
     """
+    return _judged(docs, None, repository, owner, copied_repositories, copied_owners).drop("row")
+
+
+def _judged(docs: DataFrame, row: Column | None, repository: str = "source", owner: str = "source", copied_repositories: int = COPIED_REPOSITORIES, copied_owners: int = COPIED_OWNERS) -> DataFrame:
+    """secret_spans() with the number of each row."""
     bounded_batches(docs.sparkSession)
-    found = stash(scanned(docs, repository, owner), "secrets")
+    found = stash(scanned(docs, repository, owner, row), "secrets")
     stats = ownership(found)
     each = found.where(F.size("candidates") > 0).select("row", F.explode("candidates").alias("c")).select("row", "c.*").join(stats, "value")
     copied = (F.col("n_repositories") >= copied_repositories) | (F.col("n_owners") >= copied_owners)
@@ -118,7 +123,7 @@ def secret_spans(docs: DataFrame, repository: str = "source", owner: str = "sour
     return (
         found.drop("candidates", "repository", "owner")
         .join(judged, "row", "left")
-        .select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", text(F.col("s")).alias("spans"), F.coalesce(F.size(some("live")), F.lit(0)).cast("long").alias("n_live"), F.coalesce(F.size(some("copied")), F.lit(0)).cast("long").alias("n_copied"), text(some("live")).alias("spans_live"), text(some("copied")).alias("spans_copied"))
+        .select("row", "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", text(F.col("s")).alias("spans"), F.coalesce(F.size(some("live")), F.lit(0)).cast("long").alias("n_live"), F.coalesce(F.size(some("copied")), F.lit(0)).cast("long").alias("n_copied"), text(some("live")).alias("spans_live"), text(some("copied")).alias("spans_copied"))
     )
 
 
@@ -126,9 +131,10 @@ def redact(docs: DataFrame, mark: str = "[secret]", **params) -> DataFrame:
     """docs with every live-looking span replaced by mark; widely copied examples stay. n_chars, if there, follows.
 
     Overlapping spans are replaced as one. Rows without live spans, null texts among them, are untouched.
-    Texts meet the (few) spans in one join on doc_id and are rewritten there.
+    Rows are numbered first, and texts meet the (few) spans of their own row, whatever their doc_id, in one join.
     """
-    live = secret_spans(docs, **params).where("n_live > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("spans_live").alias("spans_live"))
+    rows = numbered(docs, "secrets-rows")
+    live = _judged(rows, F.col("_row"), **params).where("n_live > 0").select("row", "spans_live")
 
     def merge(batches):
         for b in batches:
@@ -144,12 +150,12 @@ def redact(docs: DataFrame, mark: str = "[secret]", **params) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(merged, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))], ["_id", "_cut"])
 
     cuts = stash(live.mapInArrow(merge, "_id long, _cut array<struct<s:int,e:int>>"), "secrets-live")
-    both = docs.join(cuts, docs["doc_id"].cast("long") == cuts["_id"], "left")
-    cut = F.aggregate("_cut", docs["text"], lambda t, x: F.concat(F.substring(t, F.lit(1), x["s"]), F.lit(mark), F.substring(t, x["e"] + 1, F.length(t))))
-    new = {"text": F.when(F.col("_cut").isNull(), docs["text"]).otherwise(cut)}
+    both = rows.join(cuts, rows["_row"] == cuts["_id"], "left")
+    cut = F.aggregate("_cut", rows["text"], lambda t, x: F.concat(F.substring(t, F.lit(1), x["s"]), F.lit(mark), F.substring(t, x["e"] + 1, F.length(t))))
+    new = {"text": F.when(F.col("_cut").isNull(), rows["text"]).otherwise(cut)}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_cut").isNull(), docs["n_chars"]).otherwise(F.length(new["text"]).cast(docs.schema["n_chars"].dataType))
-    return both.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
+        new["n_chars"] = F.when(F.col("_cut").isNull(), rows["n_chars"]).otherwise(F.length(new["text"]).cast(docs.schema["n_chars"].dataType))
+    return both.select(*[new[c].alias(c) if c in new else rows[c] for c in docs.columns])
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
