@@ -153,6 +153,21 @@ def test_licences_against_python(spark):
     assert licenses.scan(some(spark).limit(0)).count() == 0
 
 
+def test_wrapped_licences(spark):
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell"""
+    bsd = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:"""
+    prose = "Some words that have nothing to do with it\nand go on for a second line"
+    texts = [mit, bsd, f"{prose}\n{bsd}\n{prose}", f"{mit.replace(chr(10), chr(13) + chr(10))}\r\n\r\n{bsd}", "All rights\nreserved.", "Copyright law differs\nfrom country to country.", f"{prose}\n\nmore"]
+    got = {r.doc_id: r for r in licenses.scan(some(spark, *texts)).collect()}
+    assert [got[k].licences for k in range(len(texts))] == ["mit", "bsd", "bsd", "bsd,mit", "proprietary", "", ""]
+    assert got[1].n_unknown == 0 and (got[0].n_worded, got[0].n_unknown) == (2, 1) and got[5].n_unknown == 1
+
+
 # --- packing -------------------------------------------------------------------------------------
 def test_packing_round_trip(spark):
     t = Tokenizer.from_file(TOKENIZER)

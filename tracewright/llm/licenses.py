@@ -117,6 +117,8 @@ ORDERS = 3
 #: A family counts from this calibrated probability and this part of a template's n-grams.
 PROBABILITY, CONFIRMED = 0.5, 0.6
 UNKNOWN = "unknown"
+#: Most lines of a run that is tried as one notice, besides whole paragraphs; a template has some 200 characters at most.
+RUN = 12
 PASSES, RATE, L2, COPIES, SEED = 30, 0.5, 1e-4, 6, 3
 
 
@@ -208,10 +210,14 @@ def train() -> Model:
 def gram_column(text: Column) -> Column:
     """grams_of() as an expression."""
     spaced = F.regexp_replace(F.lower(text), "[^a-z0-9.]+", " ")
-    words = F.filter(F.split(F.btrim(F.replace(spaced, F.lit(". "), F.lit(" ")), F.lit(" .")), " "), lambda w: w != "")
-    n = F.size(words)
-    runs = lambda k: F.transform(F.when(n >= k, F.sequence(F.lit(1), n - k + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(words, i, k), " "))
-    return F.array_distinct(F.concat(*[runs(k) for k in range(1, ORDERS + 1)]))
+    split = F.filter(F.split(F.btrim(F.replace(spaced, F.lit(". "), F.lit(" ")), F.lit(" .")), " "), lambda w: w != "")
+
+    def runs(words: Column, k: int) -> Column:
+        n = F.size(words)
+        return F.transform(F.when(n >= k, F.sequence(F.lit(1), n - k + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(words, i, k), " "))
+
+    # bound to a variable, so that a text is split once and not again for each n-gram
+    return F.array_distinct(F.flatten(F.transform(F.array(split), lambda words: F.concat(*[runs(words, k) for k in range(1, ORDERS + 1)]))))
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -219,7 +225,9 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     Paragraphs are the lines of the whole text that aren't blank. One with licence wording gets the
     family of highest calibrated probability; if that is UNKNOWN, has less than PROBABILITY, or no template
-    of the family has CONFIRMED of its n-grams in the paragraph, the paragraph is unknown. licences joins
+    of the family has CONFIRMED of its n-grams in the paragraph, the paragraph is unknown. Notices with hard line breaks
+    are read, too: all runs of up to RUN lines without a blank one between them, and all lines between two blank
+    ones, are judged in the same way, and worded lines of the shortest runs that have a family aren't unknown. licences joins
     the families found in alphabetical order ('' if none); best_probability and best_template are the
     greatest of a family that counts (null if none does). Null and empty texts have no paragraphs;
     repeated rows are each reported; ties between families go to the first in the alphabet.
@@ -227,26 +235,56 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """
     model = model or train()
     spark = docs.sparkSession
-    paragraphs = F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\r?\n"), lambda p: F.btrim(p) != "")
-    worded = F.filter("paragraphs", lambda p: F.lower(p).rlike("|".join(WORDING)))
-    lean = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), paragraphs.alias("paragraphs"))
-    found = stash(lean.select("row", "doc_id", F.size("paragraphs").cast("long").alias("n_paragraphs"), worded.alias("worded")), "licences")
-    each = found.where(F.size("worded") > 0).select("row", F.posexplode("worded").alias("place", "text"))
-    grams = each.select("row", "place", F.explode(F.array_append(gram_column(F.col("text")), F.lit(""))).alias("gram"))
+    whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    paragraphs = F.filter(F.split(whole, "\r?\n"), lambda p: F.btrim(p) != "")
+    has_wording = lambda p: F.lower(p).rlike("|".join(WORDING))
+    # wording may itself be broken over lines, with comment signs between
+    across = lambda p: F.regexp_replace(F.lower(p), "[^a-z0-9.]+", " ").rlike("|".join(WORDING))
+    wrapped = F.transform(F.filter(F.split(whole, r"\r?\n\s*\r?\n"), lambda p: F.btrim(p, F.lit("\r\n ")).contains("\n") & across(p)), lambda p: F.filter(F.split(p, "\r?\n"), lambda x: F.btrim(x) != ""))
+    lean = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), paragraphs.alias("paragraphs"), wrapped.alias("wrapped"))
+    found = stash(lean.select("row", "doc_id", F.size("paragraphs").cast("long").alias("n_paragraphs"), F.filter("paragraphs", has_wording).alias("worded"), "wrapped"), "licences")
     # the bias is the weight of an n-gram that every paragraph has
     table = [(g, f, float(w)) for g, own in [("", model.bias), *model.weights.items()] for f, w in own.items()]
     weights = spark.createDataFrame(table, "gram string, family string, weight double")
-    z = grams.join(F.broadcast(weights), "gram").groupBy("row", "place", "family").agg(F.sum("weight").alias("z"))
-    top = z.groupBy("row", "place").agg(F.max("z").alias("top"), F.collect_list(F.struct("z", "family")).alias("all"))  # one for each family
-    best = F.array_min(F.transform("all", lambda x: F.struct((-x["z"]).alias("z"), x["family"].alias("family"))))
-    shares = F.aggregate("all", F.lit(0.0), lambda a, x: a + F.exp((x["z"] - F.col("top")) / F.lit(model.temperature)))
-    judged = top.select("row", "place", best["family"].alias("family"), (F.lit(1.0) / shares).alias("probability"))
     parts = [(f, k, g, 1.0 / len(grams)) for k, (f, grams) in enumerate(model.templates) for g in grams]
     templates = spark.createDataFrame(parts, "family string, template int, gram string, part double")
-    match = grams.join(F.broadcast(templates), "gram").groupBy("row", "place", "family", "template").agg(F.sum("part").alias("part")).groupBy("row", "place", "family").agg(F.max("part").alias("matched"))
-    counted = judged.join(match, ["row", "place", "family"], "left").select("row", "family", "probability", "matched", F.coalesce((F.col("family") != UNKNOWN) & (F.col("probability") >= PROBABILITY) & (F.col("matched") >= CONFIRMED - 1e-9), F.lit(False)).alias("sure"))
+
+    def matched(grams: DataFrame, *key: str) -> DataFrame:
+        """By family, the greatest part of a template's n-grams that each key has."""
+        return grams.join(F.broadcast(templates), "gram").groupBy(*key, "family", "template").agg(F.sum("part").alias("part")).groupBy(*key, "family").agg(F.max("part").alias("matched"))
+
+    def judged(each: DataFrame, *key: str) -> DataFrame:
+        """(*key, family, probability, matched, sure) of every text of each(*key, text)."""
+        grams = each.select(*key, F.explode(F.array_append(gram_column(F.col("text")), F.lit(""))).alias("gram"))
+        z = grams.join(F.broadcast(weights), "gram").groupBy(*key, "family").agg(F.sum("weight").alias("z"))
+        top = z.groupBy(*key).agg(F.max("z").alias("top"), F.collect_list(F.struct("z", "family")).alias("all"))  # one for each family
+        best = F.array_min(F.transform("all", lambda x: F.struct((-x["z"]).alias("z"), x["family"].alias("family"))))
+        shares = F.aggregate("all", F.lit(0.0), lambda a, x: a + F.exp((x["z"] - F.col("top")) / F.lit(model.temperature)))
+        best = top.select(*key, best["family"].alias("family"), (F.lit(1.0) / shares).alias("probability"))
+        sure = F.coalesce((F.col("family") != UNKNOWN) & (F.col("probability") >= PROBABILITY) & (F.col("matched") >= CONFIRMED - 1e-9), F.lit(False))
+        return best.join(matched(grams, *key), [*key, "family"], "left").select(*key, "family", "probability", "matched", sure.alias("sure"))
+
+    lines = found.where(F.size("worded") > 0).select("row", F.posexplode("worded").alias("place", "text"))
+    single = stash(judged(lines, "row", "place").join(lines, ["row", "place"]), "licences-lines")
+    # a run has no more of a template than its whole paragraph, and where lines alone tell all there is nothing to look for
+    blocks = found.where(F.size("wrapped") > 0).select("row", F.posexplode("wrapped").alias("block", "lines"))
+    likely = matched(blocks.select("row", "block", F.explode(gram_column(F.array_join("lines", "\n"))).alias("gram")), "row", "block").where(F.col("matched") >= CONFIRMED - 1e-9)
+    told = single.groupBy("row").agg(F.collect_set(F.when(F.col("sure"), F.col("family"))).alias("told"), F.bool_or(~F.col("sure")).alias("left"))
+    open_ = likely.join(told, "row", "left").where(F.coalesce(F.col("left") | ~F.array_contains("told", F.col("family")), F.lit(True))).select("row", "block").distinct()
+    n = F.size("lines")
+    spans = F.filter(F.array_distinct(F.array_append(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda s: F.transform(F.sequence(F.lit(2), F.lit(RUN)), lambda k: F.struct(s.alias("at"), k.alias("k"))))), F.struct(F.lit(1).alias("at"), n.alias("k")))), lambda x: (x["at"] + x["k"] <= n + 1) & (x["k"] > 1))
+    runs = blocks.join(open_, ["row", "block"]).select("row", "block", "lines", F.explode(spans).alias("s")).select("row", "block", "s.at", "s.k", F.slice("lines", F.col("s.at"), F.col("s.k")).alias("lines")).withColumn("text", F.array_join("lines", "\n")).where(across(F.col("text")))
+    runs = stash(runs, "licences-runs")
+    sure = judged(runs, "row", "block", "at", "k").where("sure").join(runs, ["row", "block", "at", "k"])
+    own = F.struct("at", "k", "lines", "probability", "matched")
+    inner = lambda x, y: (y["at"] >= x["at"]) & (y["at"] + y["k"] <= x["at"] + x["k"]) & (y["k"] < x["k"])
+    shortest = sure.groupBy("row", "block", "family").agg(F.collect_list(own).alias("all")).select("row", "family", F.explode(F.filter("all", lambda x: ~F.exists("all", lambda y: inner(x, y)))).alias("x")).select("row", "family", "x.*")
+    held = stash(shortest.select("row", "family", "probability", "matched", "lines"), "licences-runs")
+    covered = held.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("covered"))
+    counted = single.join(covered, "row", "left").select("row", "family", "probability", "matched", "sure", (~F.col("sure") & ~F.coalesce(F.array_contains("covered", F.col("text")), F.lit(False))).alias("unknown"))
+    counted = counted.unionByName(held.select("row", "family", "probability", "matched", F.lit(True).alias("sure"), F.lit(False).alias("unknown")))
     of_doc = counted.groupBy("row").agg(
-        F.count_if(~F.col("sure")).alias("n_unknown"),
+        F.count_if("unknown").alias("n_unknown"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("sure"), F.col("family")))), ",").alias("licences"),
         F.max(F.when(F.col("sure"), F.col("probability"))).alias("best_probability"),
         F.max(F.when(F.col("sure"), F.col("matched"))).alias("best_template"),
