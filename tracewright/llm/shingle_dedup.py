@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm._common import bounded_batches, numbered, stash
@@ -16,6 +16,8 @@ PART, WHOLE = 4, 5
 #: Texts from which the common shingles are learnt, and how many of those are kept. They set only the order of shingles, not the result.
 SAMPLE, COMMON = 20_000, 100_000
 SEED = 42
+#: Bits of the map that lets rows pass without a shuffle; a map too small for the rows only lets more of them be shuffled.
+BITS = 1 << 24
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -71,12 +73,33 @@ def prefixes(rows: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFram
                     at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
                     rank = np.where(tokens[at] == own, counts[at], 0)
                 first = own[np.argsort(rank, kind="stable")[: n - -(-PART * n // WHOLE) + 1]] if n else own
-                out.append((row, n, xxhash.xxh3_128_hexdigest(own.tobytes()), int(rank.sum() * 1000 // n) if n else 0, first.view(np.int64)))
+                out.append((row, n, xxhash.xxh3_128_digest(own.tobytes()), int(rank.sum() * 1000 // n) if n else 0, first.view(np.int64)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    types, names = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64())], ["row", "n", "digest", "score", "prefix"]
-    return rows.select("_row", F.col("text").cast("string").alias("text")).mapInArrow(run, "row long, n long, digest string, score long, prefix array<long>")
+    types, names = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64())], ["row", "n", "digest", "score", "prefix"]
+    return rows.select("_row", F.col("text").cast("string").alias("text")).mapInArrow(run, "row long, n long, digest binary, score long, prefix array<long>")
+
+
+def slots(row):
+    """The bit of each row number: a column's or an array's."""
+    high = F.shiftright(row, 33) if isinstance(row, Column) else row >> 33
+    return (row + high * 1_000_003) % BITS
+
+
+def bitmap(rows: DataFrame) -> np.ndarray:
+    """A bit for each slot, set for those of rows(_row); BITS / 8 bytes, whatever the number of rows."""
+    at = slots(F.col("_row"))
+    parts = rows.select(at.alias("at")).groupBy(F.floor(F.col("at") / 32768).alias("part")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits")).collect()
+    bits = np.zeros((BITS // 32768, 4096), np.uint8)
+    for r in parts:
+        bits[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return bits.ravel()
+
+
+def marked_in(bits: np.ndarray, row: pa.Array) -> np.ndarray:
+    at = slots(row.to_numpy())
+    return (bits[at >> 3] >> (at & 7)) & 1 > 0
 
 
 def near_enough(shared, n, m):
@@ -87,10 +110,14 @@ def near_enough(shared, n, m):
 def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs(a, b) of rows whose sets have the least similarity, by their whole sets."""
 
+    used = stash(pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct(), "shingles-used")
+    bits = bitmap(used)
+
     def sets(batches):
         for b in batches:
+            b = b.filter(pa.array(marked_in(bits, b.column(0))))
             own = [shingles(t or b"").tobytes() for t in b.column(1).cast(pa.large_binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], ["row", "own"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], ["_row", "own"])
 
     def run(batches):
         for b in batches:
@@ -100,9 +127,8 @@ def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
                 keep.append(near_enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    used = pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
-    own = stash(rows.select("_row", F.col("text").cast("string").alias("text")).join(used, "_row").mapInArrow(sets, "row long, own binary"), "shingles-sets")
-    x, y = own.select(F.col("row").alias("a"), F.col("own").alias("x")), own.select(F.col("row").alias("b"), F.col("own").alias("y"))
+    own = rows.select("_row", F.col("text").cast("string").alias("text")).mapInArrow(sets, "_row long, own binary").join(used, "_row")
+    x, y = own.select(F.col("_row").alias("a"), F.col("own").alias("x")), own.select(F.col("_row").alias("b"), F.col("own").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -117,9 +143,10 @@ def components(rows: DataFrame) -> DataFrame:
     bounded_batches(rows.sparkSession)
     marked = stash(prefixes(rows, common_shingles(rows)), "shingles-prefixes")
     digests = stash(marked.groupBy("digest").agg(F.min("row").alias("node")), "shingles-nodes")
-    entries = marked.join(digests.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "n", "score", F.posexplode("prefix").alias("at", "token"))
+    entries = marked.select("row", F.posexplode("prefix").alias("at", "token"))
     shared = entries.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-    entries = stash(entries.join(shared, "token"), "shingles-entries")
+    entries = entries.join(shared, "token").join(digests.select(F.col("node").alias("row")), "row")
+    entries = stash(entries.join(marked.select("row", "n", "score"), "row").withColumnRenamed("row", "node"), "shingles-entries")
 
     room = lambda x, y: near_enough(F.least(F.col(f"{x}n") - F.col(f"{x}at"), F.col(f"{y}n") - F.col(f"{y}at")), F.col(f"{x}n"), F.col(f"{y}n"))
     pair = [F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")]
@@ -154,5 +181,18 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     rows = numbered(docs, "shingles-rows")
     ids = rows.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"]
-    kept = stash(components(rows).join(ids, "row").groupBy("root").agg(least.alias("_row")).select("_row"), "shingles-kept")
-    return rows.join(kept.hint("merge"), "_row", "left_semi").select(*docs.columns)
+    groups = stash(components(rows), "shingles-groups").join(ids, "row")
+    kept = groups.groupBy("root").agg(least.alias("kept"))
+    gone = stash(groups.join(kept, "root").where("row <> kept").select(F.col("row").alias("_row")), "shingles-gone")
+    bits = bitmap(gone)
+
+    def part(some: bool) -> DataFrame:
+        def run(batches):
+            for b in batches:
+                yield b.filter(pa.array(marked_in(bits, b.column(at)) == some))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    # rows without a bit stay for certain; the others meet the rows that go in a join
+    at = rows.columns.index("_row")
+    return part(False).unionByName(part(True).join(gone.hint("merge"), "_row", "left_anti")).select(*docs.columns)
