@@ -1,10 +1,12 @@
 import hashlib
 import math
+import random
 import re
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -171,7 +173,6 @@ to use, copy, modify, merge, publish, distribute, sublicense, and/or sell"""
 # --- packing -------------------------------------------------------------------------------------
 def test_packing_round_trip(spark):
     t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
     texts = ["Hello, World. it's 2024...", None, "", "É ǅ İx ſs ﬁ é 日本   a b", "x y. " * 9000, "tok, " * 300, "tok, " * 300, "<|endoftext|> z"]
     rows = docs(spark, [(k, s, "en", "s") for k, s in enumerate(texts)] + [(0, texts[0], "en", "s"), (None, "n", "en", "s")])
     got = packing.pack(rows, TOKENIZER).collect()
@@ -187,6 +188,32 @@ def test_packing_round_trip(spark):
     assert packing.pack(rows.limit(0), TOKENIZER).count() == 0
 
 
+def test_word_ids_are_the_plain_tokenizers():
+    """Texts of every plane of trouble: letters that normalise to a letter and a mark, marks after stops, special strings, odd white space."""
+    rng, t, w = random.Random(1), Tokenizer.from_file(TOKENIZER), packing.WordIds(TOKENIZER)
+    pool = ["İ.", "σς,", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", " ", "\n", "\t", "'s", "'RE", "don't.", "1.5", "a.b,c", "é.", "e\u0301.", "\u0958.", "\ufb2a,", "\u1100\u1161\u11a8.", ".\u0301", "\u212b,", "\ufb01.", "٣.", "\x00", "\x1c", "\xa0", "👍🏽", "\u200d", '"', "AB"]
+    texts = ["İ.", "a <|endoftext|> b", ""]
+    for _ in range(4000):
+        letter = lambda: chr(rng.choice([rng.randrange(32, 127), rng.randrange(0xA0, 0x600), rng.randrange(0x900, 0x3000), rng.randrange(0xF900, 0xFB50)]))
+        texts.append("".join(rng.choice(pool) if rng.random() < 0.8 else letter() for _ in range(rng.randrange(12))))
+    for k in range(0, len(texts), 512):
+        offsets, ids = w(pa.array(texts[k : k + 512]))
+        for j, s in enumerate(texts[k : k + 512]):
+            assert t.encode(s, add_special_tokens=False).ids == ids[offsets[j] : offsets[j + 1]].tolist(), repr(s)
+
+
+def test_linear_program_is_proven():
+    rng = np.random.default_rng(3)
+    for top in (9, 60, 512):
+        size = np.unique(rng.integers(1, top + 1, 200))
+        demand = rng.integers(1, 500, len(size))
+        used, bound = packing.cutting_stock(size, demand, 512)
+        made = sum(x * c for x, c in used)
+        assert np.allclose(made, demand, rtol=1e-4, atol=1e-2) and all(c @ size <= 512 for _, c in used)
+        total = sum(x for x, _ in used)
+        assert bound - 1e-3 <= total <= bound * (1 + packing.GAP) + 1e-3 and bound >= (size @ demand) / 512 * (1 - packing.GAP) - 1e-3
+
+
 def test_plan_wastes_little():
     rng = np.random.default_rng(6)
     size = np.arange(1, 257)

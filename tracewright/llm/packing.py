@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +20,19 @@ SEQUENCE = 4096
 END = 2
 #: Lengths are priced in units of so many tokens; a class holds the lengths that round up to it.
 UNIT = 8
-#: Words whose ids a worker keeps.
-KNOWN_WORDS = 400_000
+#: Words whose ids a worker keeps, in each of two generations.
+KNOWN_WORDS = 150_000
 #: Stop when the linear program is proven within this share of its optimum.
 GAP = 5e-4
 ROUNDS = 4000
+#: Columns that one knapsack table may add, and the share of the best prices so far in those that it works by.
+COLUMNS, STEADY = 64, 0.7
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
+#: A letter or digit that stays one under the tokenizer's normaliser (which writes some others, such as a dotted capital I, as a letter and a mark), before a mark that starts a new piece.
+BEFORE_MARK = r"([0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{17F}])([.,])"
+
 
 def byte_letters() -> dict[int, int]:
     """The characters that byte-level tokenizers write bytes as: printable ones stand for themselves, the others for 256 and up in order."""
@@ -36,19 +43,24 @@ def byte_letters() -> dict[int, int]:
 class WordIds:
     """Ids of whole texts from a tokenizers file whose pieces never cross white space.
 
-    Every distinct word goes through the tokenizer once and its ids are kept, up to KNOWN_WORDS words.
-    A word of letters only is one piece, which goes to the tokenizer's model after its normaliser; other
-    words go through the whole tokenizer. Lower-casing A-Z and a space before a full stop or comma that follows a letter or digit change no
-    id: the tokenizer lower-cases and starts a new piece there itself. Both only make words repeat more.
+    Every distinct word goes through the tokenizer once and its ids are kept: words of the present and the
+    last generation, each of KNOWN_WORDS at most. A word of letters only is one piece, which goes to the
+    tokenizer's model after its normaliser; other words go through the whole tokenizer. Lower-casing A-Z and
+    a space before a full stop or comma that follows a plain letter or digit change no id: the tokenizer
+    lower-cases and starts a new piece there itself. Both only make words repeat more. A text that holds the
+    string of a special token goes through the tokenizer as it is, which gives that token's id.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        self.path = path
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # words are lower-cased, so a special token's string in one is ordinary text
+        self.special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.bytes = byte_letters()
-        self.forget()
+        self.now: dict[str, np.ndarray] = {}
+        self.before: dict[str, np.ndarray] = {}
 
     def ids(self, words: list[str]) -> list[list[int]]:
         """Ids of words without white space."""
@@ -61,41 +73,58 @@ class WordIds:
             out[k] = e.ids
         return out
 
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
-
-    def learn(self, words: list[str]) -> None:
-        starts, sizes, flats = [self.starts], [self.sizes], [self.flat]
-        at, end = len(self.starts), len(self.flat)
-        for k in range(0, len(words), 4096):
-            ids = self.ids(words[k : k + 4096])
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
-            flats.append(np.fromiter((i for x in ids for i in x), np.uint32, int(n.sum())))
-            starts.append(end + np.cumsum(n) - n)
-            sizes.append(n)
-            end += int(n.sum())
-        self.known.update(zip(words, range(at, at + len(words)), strict=True))
-        self.starts, self.sizes, self.flat = np.concatenate(starts), np.concatenate(sizes), np.concatenate(flats)
+    def look_up(self, words: list[str]) -> list[bytes]:
+        """The ids of each word as bytes."""
+        now, before = self.now, self.before
+        found = [now.get(w) for w in words]
+        new = []
+        for k, x in enumerate(found):
+            if x is None:
+                x = before.get(words[k])
+                if x is None:
+                    new.append(k)
+                else:
+                    found[k] = now[words[k]] = x
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            for k, ids in zip(part, self.ids([words[k] for k in part]), strict=True):
+                found[k] = now[words[k]] = array("I", ids).tobytes()
+        if len(now) > KNOWN_WORDS:
+            self.before, self.now = now, {}
+        return found
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of a batch."""
-        spaced = pc.replace_substring(pc.replace_substring_regex(pc.ascii_lower(plain(texts)), r"([\p{L}\p{N}])([.,])", r"\1 \2"), "\n", " ")
+        texts = plain(texts)
+        marked = pc.match_substring_regex(texts, self.special) if self.special else None
+        if marked is not None and pc.any(marked).as_py():
+            return self.mixed(texts, marked)
+        spaced = pc.replace_substring(pc.replace_substring_regex(pc.ascii_lower(texts), BEFORE_MARK, r"\1 \2"), "\n", " ")
         lists = pc.split_pattern(spaced, " ")
         offsets = np.asarray(lists.offsets, dtype=np.int64)
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.known) + len(words) > KNOWN_WORDS:
-            self.forget()
-        new = [w for w in words if w not in self.known]
-        if new:
-            self.learn(new)
-        which = np.fromiter((self.known[w] for w in words), np.int64, len(words))[np.asarray(coded.indices, dtype=np.int64)]
-        n = self.sizes[which]
+        del spaced, lists
+        ids = self.look_up(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        first = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(ids), np.uint32)
+        which = np.asarray(coded.indices)
+        n = size[which]
         ends = np.cumsum(n)
-        ids = self.flat[np.repeat(self.starts[which] - ends + n, n) + np.arange(int(n.sum()))]
-        return np.concatenate(([0], ends))[offsets - offsets[0]], ids
+        at = np.arange(int(n.sum()))
+        at += np.repeat(first[which] - ends + n, n)
+        return np.concatenate(([0], ends))[offsets - offsets[0]], flat[at]
+
+    def mixed(self, texts: pa.Array, marked: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As __call__, with the marked texts encoded as they are."""
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(self.path)
+        offsets, ids = self(pc.if_else(marked, "", texts))
+        parts = [ids[s:e] for s, e in zip(offsets, offsets[1:], strict=False)]
+        for k in np.flatnonzero(marked.to_numpy(zero_copy_only=False)).tolist():
+            parts[k] = np.array(whole.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(([0], np.cumsum([len(p) for p in parts]))), np.concatenate(parts)
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -125,8 +154,8 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE) -> DataFra
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECE)
 
 
-def best_pattern(value: np.ndarray, size: np.ndarray, room: int) -> tuple[float, np.ndarray]:
-    """Knapsack by dynamic programming: the multiset of classes of most value that fits in room."""
+def knapsack(value: np.ndarray, size: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By dynamic programming, for every room up to this: the most value that fits, and the size to take first for it (0: none)."""
     by_size = np.zeros(room + 1)
     by_size[size] = np.maximum(value, 0)
     best, take = np.zeros(room + 1), np.zeros(room + 1, np.int64)
@@ -134,45 +163,117 @@ def best_pattern(value: np.ndarray, size: np.ndarray, room: int) -> tuple[float,
         total = by_size[1 : w + 1] + best[w - 1 :: -1][:w]
         k = int(total.argmax())
         best[w], take[w] = total[k], k + 1
-    counts, w = np.zeros(room + 1, np.int64), room
-    while w > 0 and take[w]:
-        counts[take[w]] += by_size[take[w]] > 0
-        w -= int(take[w])
-    return float(best[room]), counts[size]
-
+    return by_size, best, take
+
+
+def patterns_of(value: np.ndarray, size: np.ndarray, room: int, most: int = COLUMNS) -> list[tuple[float, np.ndarray]]:
+    """(value, counts of classes) of the multiset of classes of most value that fits in room, and of the best that hold one class each; best first, all different."""
+    by_size, best, take = knapsack(value, size, room)
+    with_one = by_size[size] + best[room - size]
+    out, seen = [], set()
+    for k in np.argsort(-with_one, kind="stable")[: 2 * most].tolist():
+        counts, w = np.zeros(room + 1, np.int64), room - int(size[k])
+        counts[size[k]] = 1
+        while w > 0 and take[w]:
+            counts[take[w]] += by_size[take[w]] > 0
+            w -= int(take[w])
+        pattern = counts[size]
+        if (key := pattern.tobytes()) not in seen:
+            seen.add(key)
+            out.append((float(with_one[k]), pattern))
+        if len(out) == most:
+            break
+    return out
 
-def cutting_stock(size: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[float, np.ndarray]]:
-    """Patterns and how often each is used in an optimum of the linear program min sum(x), Ax = demand.
 
-    Starts from one pattern per class and prices new columns with the knapsack. A revised simplex
-    keeps the inverse of the basis; it has a row per class, however many documents there are.
+def first_fit_patterns(size: np.ndarray, demand: np.ndarray, room: int) -> list[np.ndarray]:
+    """Patterns of first fit, largest first, each used as often as what is left allows."""
+    left, out = demand.astype(np.int64).copy(), []
+    top = len(size) - 1
+    while top >= 0:
+        if not left[top]:
+            top -= 1
+            continue
+        pattern, w = np.zeros(len(size), np.int64), room
+        k = top
+        while k >= 0 and w >= size[0]:
+            k = min(k, int(np.searchsorted(size, w, side="right")) - 1)
+            if k >= 0 and left[k]:
+                n = min(w // int(size[k]), int(left[k]))
+                pattern[k] = n
+                w -= n * int(size[k])
+            k -= 1
+        full = pattern > 0
+        left[full] -= pattern[full] * int((left[full] // pattern[full]).min())
+        out.append(pattern)
+    return out
+
+
+def cutting_stock(size: np.ndarray, demand: np.ndarray, room: int) -> tuple[list[tuple[float, np.ndarray]], float]:
+    """Patterns and how often each is used in an optimum of the linear program min sum(x), Ax = demand; and the least bound of the number of sequences that pricing proves.
+
+    Starts from one pattern per class, then takes the patterns of first fit, then those that the knapsack prices,
+    several from one table, by prices that are held near the best so far. A revised simplex keeps the inverse of the
+    basis; it has a row per class, however many documents there are. It ends when the bound is within GAP.
     """
     m = len(size)
     scale = demand.sum()
-    b = demand / scale + 1e-9 * (1 + np.arange(m) % 7)  # ties broken, so that no step is degenerate
+    b = demand / scale * (1 + 1e-6 * np.random.default_rng(m).random(m))  # ties broken, so that no step is degenerate
     repeat = room // size
     columns = [np.where(np.arange(m) == k, repeat[k], 0) for k in range(m)]
     inverse = np.diag(1.0 / repeat)
     x = b / repeat
-    for step in range(ROUNDS):
-        price = inverse.sum(axis=0)
-        gain, pattern = best_pattern(price, size, room)
-        if gain <= 1 + GAP:  # x / gain is a lower bound
-            break
-        d = inverse @ pattern
+    price = inverse.sum(axis=0)
+    pivots = 0
+
+    def enter(pattern: np.ndarray) -> bool:
+        nonlocal x, price, inverse, pivots
+        own = np.flatnonzero(pattern)
+        gain = float(price[own] @ pattern[own])
+        if gain <= 1 + 1e-6:
+            return False
+        d = inverse[:, own] @ pattern[own]
         ratio = np.where(d > 1e-11, x / np.where(d > 1e-11, d, 1), np.inf)
         out = int(ratio.argmin())
         theta = ratio[out]
         x = np.maximum(x - theta * d, 0)
         x[out] = theta
         row = inverse[out] / d[out]
-        inverse -= np.outer(d, row)
+        some = np.flatnonzero(row)
+        if len(some) < m // 2:
+            inverse[:, some] -= np.outer(d, row[some])
+        else:
+            inverse -= np.outer(d, row)
         inverse[out] = row
+        price = price - (gain - 1) * row
         columns[out] = pattern
-        if step % 200 == 199:
+        pivots += 1
+        if pivots % 500 == 0:
             inverse = np.linalg.inv(np.stack(columns, axis=1).astype(float))
             x = np.maximum(inverse @ b, 0)
-    return [(float(v * scale), c) for v, c in zip(x, columns, strict=True) if v > 0]
+            price = inverse.sum(axis=0)
+        return True
+
+    for pattern in first_fit_patterns(size, demand, room):
+        enter(pattern)
+    # each size its part of the room: prices that no pattern beats, so the pieces' whole size is a first bound
+    best, bound = size / room, float(size @ b) / room
+    for _ in range(ROUNDS):
+        if float(x.sum()) <= bound * (1 + GAP):
+            break
+        entered = 0
+        for share in (STEADY, 0.0):  # prices near the best ones so far, and where no pattern of theirs is of use, the basis's own
+            mixed = share * best + (1 - share) * price
+            priced = patterns_of(mixed, size, room)
+            own = float(mixed @ b) / max(priced[0][0], 1.0)
+            if own > bound:
+                best, bound = mixed / max(priced[0][0], 1.0), own
+            entered = sum([enter(pattern) for _, pattern in priced])
+            if entered:
+                break
+        if not entered:
+            break
+    return [(float(v * scale), c) for v, c in zip(x, columns, strict=True) if v > 0], bound * scale
 
 
 def plan(size: np.ndarray, demand: np.ndarray, room: int) -> np.ndarray:
@@ -182,7 +283,7 @@ def plan(size: np.ndarray, demand: np.ndarray, room: int) -> np.ndarray:
     pieces that rounding leaves go best fit, largest first, into further sequences.
     """
     left, used, rows, sequence = demand.astype(np.int64).copy(), np.zeros(len(size), np.int64), [], 0
-    for times, pattern in sorted(cutting_stock(size, demand, room), key=lambda p: -p[0]):
+    for times, pattern in sorted(cutting_stock(size, demand, room)[0], key=lambda p: -p[0]):
         full = np.flatnonzero(pattern)
         n = int(min(np.floor(times + 1e-6), (left[full] // pattern[full]).min()))
         if n < 1:
@@ -223,7 +324,7 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, unit: int =
     at most sequence / unit classes.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, rows=1024, mb=4)
     cut = stash(pieces(docs, tokenizer, sequence).withColumn("size", F.ceil(F.col("length") / F.lit(unit)).cast("long")), "packing-pieces")
     hist = sorted((r["size"], r["n"]) for r in cut.groupBy("size").agg(F.count("*").alias("n")).collect())
     size, demand = (np.array(c, np.int64) for c in zip(*hist, strict=True)) if hist else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -239,6 +340,7 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, unit: int =
     ranked = dealt.withColumn("k", F.row_number().over(inner) - 1).join(before, ["size", "bucket"]).select(*cut.columns, (F.col("base") + F.col("k")).alias("rank"))
 
     def assign(batches):
+        _LOADED.clear()  # a worker that has counted ids needs its words no more
         for b in batches:
             s, slot = place(placed, b.column("size").to_numpy(), b.column("rank").to_numpy())
             keep = b.select(["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
