@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm._common import bounded_batches, read, stash
+from tracewright.llm.bk_tree import least_labels
 from tracewright.llm.components import connected
-from tracewright.llm.simhash_dedup import least_labels
 
 COSINE = 0.9
 #: Vectors that the index is fitted on, drawn by a hash of the id.

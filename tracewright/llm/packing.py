@@ -209,6 +209,20 @@ def first_fit_patterns(size: np.ndarray, demand: np.ndarray, room: int) -> list[
     return out
 
 
+def inverse_of(matrix: np.ndarray) -> np.ndarray:
+    """By Gauss and Jordan's steps on whole rows. (The library's call may never return in a driver whose process also runs a gateway.)"""
+    n = len(matrix)
+    both = np.concatenate((matrix.astype(float), np.eye(n)), axis=1)
+    for k in range(n):
+        at = k + int(np.abs(both[k:, k]).argmax())
+        both[[k, at]] = both[[at, k]]
+        both[k] /= both[k, k]
+        other = np.flatnonzero(both[:, k])
+        other = other[other != k]
+        both[other] -= np.outer(both[other, k], both[k])
+    return both[:, n:]
+
+
 def cutting_stock(size: np.ndarray, demand: np.ndarray, room: int) -> tuple[list[tuple[float, np.ndarray]], float]:
     """Patterns and how often each is used in an optimum of the linear program min sum(x), Ax = demand; and the least bound of the number of sequences that pricing proves.
 
@@ -249,7 +263,7 @@ def cutting_stock(size: np.ndarray, demand: np.ndarray, room: int) -> tuple[list
         columns[out] = pattern
         pivots += 1
         if pivots % 500 == 0:
-            inverse = np.linalg.inv(np.stack(columns, axis=1).astype(float))
+            inverse = inverse_of(np.stack(columns, axis=1))
             x = np.maximum(inverse @ b, 0)
             price = inverse.sum(axis=0)
         return True

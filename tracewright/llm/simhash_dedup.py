@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.llm import simhash_similar
 from tracewright.llm._common import bounded_batches, hex16, numbered, read, stash
+from tracewright.llm.bk_tree import Tree, least_labels
 from tracewright.llm.components import connected
 
 RADIUS = 2
@@ -52,56 +54,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-class Tree:
-    """A BK-tree over distinct 64-bit integers; child[x, d] is the child of x at Hamming distance d, or -1."""
-
-    def __init__(self, values: np.ndarray) -> None:
-        self.values = values.astype(np.uint64)
-        self.child = np.full((len(values), 65), -1, np.int32)
-        ints = self.values.tolist()
-        for new in range(1, len(ints)):
-            at = 0
-            while True:
-                d = (ints[new] ^ ints[at]).bit_count()
-                below = self.child[at, d]
-                if below < 0:
-                    self.child[at, d] = new
-                    break
-                at = below
-
-    def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """All (query index, value index) at most radius apart. A level is compared at once, and only edges in [d - radius, d + radius] are followed."""
-        queries = queries.astype(np.uint64)
-        q, x = np.arange(len(queries)), np.zeros(len(queries), np.int64)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        while len(q):
-            d = np.bitwise_count(queries[q] ^ self.values[x]).astype(np.int64)
-            near = d <= radius
-            found.append((q[near], x[near]))
-            nxt = []
-            for off in range(-radius, radius + 1):
-                e = d + off
-                ok = (e > 0) & (e <= 64)
-                c = self.child[x[ok], e[ok]]
-                nxt.append((q[ok][c >= 0], c[c >= 0].astype(np.int64)))
-            q, x = (np.concatenate(p) for p in zip(*nxt, strict=True))
-        return tuple(np.concatenate(p) for p in zip(*found, strict=True)) if found else (q, x)
-
-
-def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least index that each of n points reaches over the pairs."""
-    labels = np.arange(n)
-    while True:
-        low = np.minimum(labels[a], labels[b])
-        new = labels.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == labels).all():
-            return labels
-        labels = new
-
-
 def shard_key(fp: Column, blocks: int = BLOCKS, radius: int = RADIUS) -> Column:
     """Shards of a fingerprint: for every choice of blocks - radius blocks, the choice and their bits."""
     width = 64 // blocks
@@ -208,16 +160,31 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex16("fp").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, **params) -> DataFrame:
-    """The rows of docs, with all their columns, that stand for their component: one row of the smallest doc_id of each.
+def deduplicate(docs: DataFrame, shingle: int = simhash_similar.SHINGLE) -> DataFrame:
+    """The rows of docs, with all their columns, that stand for their group of near copies: the one of the smallest doc_id, and of such rows the first.
 
-    Of rows that repeat such a doc_id in a component the first stays; a component whose ids are all null keeps its first row.
-    The rows that stay are nearly as many as all, so they meet in a sort-merge join at any size.
+    Near copies have a Jaccard similarity of 0.8 or more of their sets of five-word shingles (see simhash_similar); chains
+    of them are one group. Words are runs without ASCII white space after lower-casing A-Z. A null doc_id is never smallest.
+    Texts without words are copies of each other. Columns may have any names; no rows give no rows.
     """
-    rows = numbered(docs, "simhash-rows")
-    # the number of the row takes the place of the id, so that each row finds its own component
-    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), **params).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("component"))
-    ids = rows.select("_row", F.col("doc_id").cast("long").alias("doc_id"))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))["_row"]
-    kept = stash(found.join(ids, "_row").groupBy("component").agg(least.alias("_row")).select("_row"), "simhash-kept")
-    return rows.join(kept.hint("merge"), "_row", "left_semi").select(*docs.columns)
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    named = docs.toDF(*names)
+    doc_id, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    rows = numbered(named, "simhash-rows")
+    ids = rows.select(F.col("_row").alias("row"), doc_id.cast("long").alias("doc_id"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"]
+    groups = stash(simhash_similar.components(rows.select("_row", text.alias("text")), shingle), "simhash-groups").join(ids, "row")
+    kept = groups.groupBy("root").agg(least.alias("kept"))
+    gone = stash(groups.join(kept, "root").where("row <> kept").select(F.col("row").alias("_row")), "simhash-gone")
+    bits = simhash_similar.bitmap(gone)
+
+    def part(some: bool) -> DataFrame:
+        def run(batches):
+            for b in batches:
+                yield b.filter(pa.array(simhash_similar.marked_in(bits, b.column(at)) == some))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    # rows without a bit stay for certain; the others meet the rows that go in a join
+    at = rows.columns.index("_row")
+    return part(False).unionByName(part(True).join(gone.hint("merge"), "_row", "left_anti")).select(*names).toDF(*docs.columns)
