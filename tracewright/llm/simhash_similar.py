@@ -8,18 +8,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm._common import bounded_batches, stash
+from tracewright.llm._common import bounded_batches, mix, stash
 from tracewright.llm.bk_tree import Forest
 from tracewright.llm.components import connected
 
 SHINGLE = 5
 #: Least similarity as a fraction, so that counts are compared as integers.
 PART, WHOLE = 4, 5
-#: Sets of similarity 0.8 differ in about 10 of 64 bits with a deviation of 3.
-RADIUS = 22
+#: Sets of similarity 0.8 differ in about 10 of 64 bits with a deviation of 3, and in 20 of 128 with one of 4.
+RADIUS, RADIUS_BOTH = 22, 38
 #: Sets of so few shingles are compared whatever their fingerprints, which a single shingle changes much.
 SMALL = 8
 #: Texts from which the common shingles are learnt, and how many of those are kept. They set only the order and the dealing of shingles, not the result.
@@ -48,7 +48,7 @@ def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
 
 
 def simhash(own: np.ndarray) -> int:
-    """The fingerprint of a set of hashes as a signed 64-bit integer; no hashes give zero."""
+    """The fingerprint of a set of hashes as a signed 64-bit integer; no hashes give zero. mix() of the hashes gives another one."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(own), 1 << 16):
         ones += np.unpackbits(own[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -74,7 +74,7 @@ def common_shingles(rows: DataFrame, n: int, size: int) -> tuple[np.ndarray, np.
 
 
 def marked(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], size: int) -> DataFrame:
-    """(row, n, digest, fp, score, prefix, deal) of every text: size, digest and fingerprint of its set, how common its shingles are, and its rarest fifth and one more.
+    """(row, n, digest, fp, fp2, score, prefix, deal) of every text: size, digest and fingerprints of its set, how common its shingles are, and its rarest fifth and one more.
 
     Sets of similarity PART / WHOLE share a shingle of these prefixes in any order that all texts keep; here the common come
     last. deal is 0 for a shingle that isn't common, else one more than the part of its shard that the text is dealt to.
@@ -94,13 +94,13 @@ def marked(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], size: int) ->
                     rank = np.where(tokens[at] == own, counts[at], 0)
                 order = np.argsort(rank, kind="stable")[: n - -(-PART * n // WHOLE) + 1] if n else np.empty(0, np.int64)
                 deal = np.where(rank[order] > 0, 1 + xxhash.xxh32_intdigest(row.to_bytes(8, "little"), SEED) % (1 + rank[order] // DEALT), 0)
-                out.append((row, n, xxhash.xxh3_128_digest(own.tobytes()), simhash(own), int(rank.mean() * 1000 // (1 + rank.max())) if n else 0, own[order].view(np.int64), deal))
+                out.append((row, n, xxhash.xxh3_128_digest(own.tobytes()), simhash(own), simhash(mix(own)), int(rank.mean() * 1000 // (1 + rank.max())) if n else 0, own[order].view(np.int64), deal))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    types = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-    names = ["row", "n", "digest", "fp", "score", "prefix", "deal"]
-    return rows.select("_row", F.col("text").cast("string").alias("text")).mapInArrow(run, "row long, n int, digest binary, fp long, score int, prefix array<long>, deal array<int>")
+    types = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    names = ["row", "n", "digest", "fp", "fp2", "score", "prefix", "deal"]
+    return rows.select("_row", F.col("text").cast("string").alias("text")).mapInArrow(run, "row long, n int, digest binary, fp long, fp2 long, score int, prefix array<long>, deal array<int>")
 
 
 def near_enough(shared, n, m):
@@ -108,9 +108,10 @@ def near_enough(shared, n, m):
     return shared * (PART + WHOLE) >= (n + m) * PART
 
 
-def near_prints(fp, n, c_fp, c_n):
-    """Whether the fingerprints of two columns of sets are near enough to compare the sets."""
-    return (F.bit_count(fp.bitwiseXOR(c_fp)) <= RADIUS) | (n <= SMALL) | (c_n <= SMALL)
+def near_prints() -> Column:
+    """Whether the fingerprints of a text and of the first of its part are near enough to compare their sets."""
+    one, two = (F.bit_count(F.col(c).bitwiseXOR(F.col(f"c_{c}"))) for c in ("fp", "fp2"))
+    return ((one <= RADIUS) & (one + two <= RADIUS_BOTH)) | (F.col("n") <= SMALL) | (F.col("c_n") <= SMALL)
 
 
 def slots(row: np.ndarray) -> np.ndarray:
@@ -134,7 +135,7 @@ def marked_in(bits: np.ndarray, row: pa.Array) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7)) & 1 > 0
 
 
-SHARD = "token long, deal int, node long, n int, at int, fp long, c_node long, c_n int, c_at int, c_fp long"
+SHARD = "token long, deal int, node long, n int, at int, fp long, fp2 long, prev long, c_node long, c_n int, c_at int, c_fp long, c_fp2 long"
 
 
 def shards(nodes: DataFrame) -> DataFrame:
@@ -143,7 +144,10 @@ def shards(nodes: DataFrame) -> DataFrame:
     A part is streamed, whatever its size. The first text of a part has a row of its own if another follows, or if
     the shingle is common, as other parts of the shard may then hold others.
     """
-    entries = nodes.select(F.col("row").alias("node"), "n", "fp", "score", F.posexplode(F.arrays_zip("prefix", "deal")).alias("at", "x")).select("x.prefix", "x.deal", "node", "n", "at", "fp", "score").withColumnRenamed("prefix", "token")
+    # half the bits of each of the two shingles before one, or of the row's number where there are none
+    half = lambda i: F.shiftrightunsigned(F.coalesce(F.get("prefix", i), F.xxhash64("row")), 32)
+    nodes = nodes.withColumn("prev", F.transform("prefix", lambda x, i: F.shiftleft(half(i - 1), 32).bitwiseOR(half(i - 2))))
+    entries = nodes.select(F.col("row").alias("node"), "n", "fp", "fp2", "score", F.posexplode(F.arrays_zip("prefix", "deal", "prev")).alias("at", "x")).select("x.prefix", "x.deal", "node", "n", "at", "fp", "fp2", "x.prev", "score").withColumnRenamed("prefix", "token")
     dealt = entries.repartition("token", "deal").sortWithinPartitions("token", "deal", F.desc("score"), "node").drop("score")
 
     def run(batches):
@@ -166,16 +170,16 @@ def shards(nodes: DataFrame) -> DataFrame:
             keep = np.flatnonzero(~first | own)
             held = [x[:, lead[-1]].copy()]
             if len(keep):
-                y = np.concatenate((x[:, keep], x[2:, lead[keep]]))
+                y = np.concatenate((x[:, keep], x[2:7, lead[keep]]))
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype())) for c, t in zip(y, types, strict=True)], names)
 
     names = [c.split()[0] for c in SHARD.split(", ")]
     types = [pa.int64() if c.split()[1] == "long" else pa.int32() for c in SHARD.split(", ")]
-    return dealt.select(*names[:6]).mapInArrow(run, SHARD)
+    return dealt.select(*names[:8]).mapInArrow(run, SHARD)
 
 
 def tree_pairs(entries: DataFrame) -> DataFrame:
-    """(a, b): texts of entries(token, node, n, at, fp, root) in one shard that are still apart and near enough by fingerprint, size and place.
+    """(a, b): texts of entries(token, node, n, at, fp, fp2, prev, root) in one shard that are still apart and near enough by fingerprint, size and place.
 
     A shard beyond TREE texts is dealt into several trees, and each tree meets each other part of the shard in a
     task of its own, so that no task holds a large shard.
@@ -183,11 +187,11 @@ def tree_pairs(entries: DataFrame) -> DataFrame:
     sizes = entries.groupBy("token").agg(F.ceil(F.count("*") / F.lit(TREE)).cast("int").alias("parts"))
     mine = F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int")
     spread = entries.join(sizes, "token").withColumn("mine", mine).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
-    units = spread.select("token", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"), F.when(F.col("mine") <= F.col("o"), 0).otherwise(1).alias("side"), "node", "n", "at", "fp", "root")
+    units = spread.select("token", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"), F.when(F.col("mine") <= F.col("o"), 0).otherwise(1).alias("side"), "node", "n", "at", "fp", "fp2", "prev", "root")
     units = units.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
 
     def pairs(x: np.ndarray) -> np.ndarray:
-        """The pairs of whole units: rows token, i, j, side, node, n, at, fp, root, sorted by the first three."""
+        """The pairs of whole units: rows token, i, j, side, node, n, at, fp, fp2, prev, root, sorted by the first three."""
         unit = np.concatenate(([0], np.cumsum((x[:3, 1:] != x[:3, :-1]).any(axis=0))))
         values, queries = np.flatnonzero(x[3] == 0), np.flatnonzero(x[3] == 1)
         alone = np.flatnonzero(x[1, values] == x[2, values])  # one part of a shard, which meets itself
@@ -196,17 +200,23 @@ def tree_pairs(entries: DataFrame) -> DataFrame:
         met = unit[values[first]] == unit[queries] if len(values) else np.zeros(len(queries), bool)
         queries, first = queries[met], first[met]
         q, v = Forest(x[7, values], unit[values]).within(x[7, queries], first, RADIUS)
+        both = np.bitwise_count((x[7, queries[q]] ^ x[7, values[v]]).view(np.uint64)) + np.bitwise_count((x[8, queries[q]] ^ x[8, values[v]]).view(np.uint64)).astype(np.int64)
+        q, v = q[both <= RADIUS_BOTH], v[both <= RADIUS_BOTH]
         few = np.flatnonzero(x[5, queries] <= SMALL)
         size = np.bincount(unit[values], minlength=unit[-1] + 1)
         of_few = size[unit[queries[few]]]
         more_q = np.repeat(few, of_few)
         more_v = np.repeat(first[few] - np.cumsum(of_few) + of_few, of_few) + np.arange(int(of_few.sum()))
         a, b = x[4:, queries[np.concatenate((q, more_q))]], x[4:, values[np.concatenate((v, more_v))]]
-        keep = (a[4] != b[4]) & near_enough(np.minimum(a[1] - a[2], b[1] - b[2]), a[1], b[1])
+        earlier = np.zeros(a.shape[1], bool)  # both hold one of the shingles before this one, so they meet in its shard
+        for x1 in (a[5] >> 32, a[5] & 0xFFFFFFFF):
+            for x2 in (b[5] >> 32, b[5] & 0xFFFFFFFF):
+                earlier |= x1 & 0xFFFFFFFF == x2 & 0xFFFFFFFF
+        keep = ~earlier & (a[6] != b[6]) & near_enough(np.minimum(a[1] - a[2], b[1] - b[2]), a[1], b[1])
         return np.unique(np.stack((np.minimum(a[0], b[0])[keep], np.maximum(a[0], b[0])[keep])), axis=1)
 
     def run(batches):
-        held = np.empty((9, 0), np.int64)
+        held = np.empty((11, 0), np.int64)
         for b in batches:
             held = np.concatenate((held, np.stack([c.to_numpy().astype(np.int64) for c in b.columns])), axis=1)
             cuts = np.flatnonzero((held[:3, 1:] != held[:3, :-1]).any(axis=0)) + 1
@@ -265,22 +275,22 @@ def components(rows: DataFrame, size: int = SHINGLE) -> DataFrame:
     """
     bounded_batches(rows.sparkSession)
     every = stash(marked(rows, common_shingles(rows, rows.count(), size), size), "similar-marked")
-    nodes = stash(every.groupBy("digest").agg(F.min(F.struct("row", "n", "fp", "score", "prefix", "deal")).alias("x")).select("digest", "x.*"), "similar-nodes")
-    met = stash(shards(nodes), "similar-shards")
+    least = F.min(F.struct("row", "n", "fp", "fp2", "score", "prefix", "deal"))
+    met = stash(shards(every.groupBy("digest").agg(least.alias("x")).select("x.*")), "similar-shards")
 
     pair = [F.least("node", "c_node").alias("a"), F.greatest("node", "c_node").alias("b")]
     other = F.col("node") != F.col("c_node")
     room = near_enough(F.least(F.col("n") - F.col("at"), F.col("c_n") - F.col("c_at")), F.col("n"), F.col("c_n"))
-    near = other & room & near_prints(F.col("fp"), F.col("n"), F.col("c_fp"), F.col("c_n"))
+    near = other & room & near_prints()
     # the first texts of the parts of a common shingle's shard meet one of them
     leads = met.where((F.col("deal") > 0) & ~other)
-    hub = leads.groupBy("token").agg(F.min(F.struct("node", "n", "at", "fp")).alias("c")).select("token", *[F.col(f"c.{c}").alias(f"c_{c}") for c in ("node", "n", "at", "fp")])
-    hubs = leads.select("token", "node", "n", "at", "fp").join(hub, "token")
+    hub = leads.groupBy("token").agg(F.min(F.struct("node", "n", "at", "fp", "fp2")).alias("c")).select("token", *[F.col(f"c.{c}").alias(f"c_{c}") for c in ("node", "n", "at", "fp", "fp2")])
+    hubs = leads.select("token", "node", "n", "at", "fp", "fp2").join(hub, "token")
     first = met.where(near).select(*pair).unionByName(hubs.where(near).select(*pair)).distinct()
     edges = stash(verified(first, rows, size), "similar-links")
     roots = connected(edges, "similar")
 
-    apart = met.select("token", "node", "n", "at", "fp").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = met.select("token", "node", "n", "at", "fp", "fp2", "prev").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     for _ in range(2):
         # a node whose shingle stands too late even for the smallest other set of the shard has no partner there
         open_ = apart.groupBy("token").agg(F.min("n").alias("least"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token", "least")
@@ -289,5 +299,5 @@ def components(rows: DataFrame, size: int = SHINGLE) -> DataFrame:
     if not rest.isEmpty():
         edges = edges.unionByName(stash(verified(rest, rows, size), "similar-links"))
         roots = connected(edges, "similar")
-    of_digest = nodes.select("digest", F.col("row").alias("node")).join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
+    of_digest = every.groupBy("digest").agg(F.min("row").alias("node")).join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     return every.select("row", "digest").join(of_digest, "digest").select("row", "root")
