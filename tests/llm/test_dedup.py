@@ -99,7 +99,8 @@ def test_embeddings_against_brute_force(spark):
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     near = u @ u.T >= 0.9
     want = near.sum(axis=1) - 1
-    assert sum(r.n_links for r in got) >= 0.95 * want.sum() and all(r.n_links <= w for r, w in zip(got, want, strict=True))
+    # every link that is missed is missed at both ends
+    assert sum(r.n_links for r in got) >= 0.99 * want.sum() and all(r.n_links <= w for r, w in zip(got, want, strict=True)) and sum(r.n_links for r in got) % 2 == 0
     roots = brute_components(range(len(x)), lambda i, j: near[i, j])
     least = {w: min(k for k in range(len(x)) if roots[k] == w) for w in roots}
     assert np.mean([r.component_id == least[w] for r, w in zip(got, roots, strict=True)]) > 0.95

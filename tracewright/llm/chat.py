@@ -37,20 +37,16 @@ def rotated(turns: DataFrame) -> DataFrame:
     order = ["conv_id", "turn", "speaker", "text", "row"]
     ranged = lean.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
     ranged = stash(ranged.drop("row"), "chat-turns")
-    sides = ranged.where(F.col("speaker") != SYSTEM).groupBy(F.col("conv_id").alias("conv"), F.col("speaker").alias("perspective")).agg(F.lit(1).alias("one")).drop("one")
+    lean = ranged.select("part", "at", "conv_id", "speaker", F.length("text").cast("long").alias("chars"))
+    sides = lean.where(F.col("speaker") != SYSTEM).groupBy(F.col("conv_id").alias("conv"), F.col("speaker").alias("perspective")).agg(F.lit(1).alias("one")).drop("one")
     own = F.coalesce(F.col("speaker") == F.col("perspective"), F.lit(False))
     system = F.coalesce(F.col("speaker") == SYSTEM, F.lit(False))
     role = F.when(own, "assistant").when(system, SYSTEM).otherwise("user")
     name = F.when(~own & ~system, F.col("speaker"))
-    head = F.concat(F.lit(START), F.col("role"), F.coalesce(F.concat(F.lit(" name="), F.col("name")), F.lit("")), F.lit("\n"))
-    seen = (
-        ranged.join(sides, F.col("conv_id").eqNullSafe(F.col("conv")))
-        .withColumn("role", role)
-        .withColumn("name", name)
-        .withColumn("head", F.length(head))
-        .withColumn("segment", F.concat(head, "text", F.lit(END + "\n")))
-        .withColumn("length", F.length("segment").cast("long"))
-    )
+    head = F.concat(F.lit(START), role, F.coalesce(F.concat(F.lit(" name="), name), F.lit("")), F.lit("\n"))
+    # offsets come from lengths alone; no text is carried through the windows
+    seen = lean.join(sides, F.col("conv_id").eqNullSafe(F.col("conv"))).withColumn("head", F.length(head)).withColumn("length", F.col("head") + F.col("chars") + len(END + "\n"))
+    seen = seen.select("part", "at", "conv_id", "perspective", "head", "length")
     key = ["part", "conv_id", "perspective"]
     along = W.partitionBy(*key).orderBy("at")
     totals = seen.groupBy(*key).agg(F.sum("length").alias("chars"), F.count("*").alias("rows"))
@@ -58,11 +54,11 @@ def rotated(turns: DataFrame) -> DataFrame:
     base = totals.select(F.col("part").alias("p"), F.col("conv_id").alias("c"), F.col("perspective").alias("s"), (F.sum("chars").over(before) - F.col("chars")).alias("chars"), (F.sum("rows").over(before) - F.col("rows")).alias("rows"))
     inner = seen.withColumn("run", F.sum("length").over(along) - F.col("length")).withColumn("k", F.row_number().over(along) - 1)
     placed = inner.join(base, (F.col("part") == F.col("p")) & F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("perspective") == F.col("s")))
-    start = F.col("chars") + F.col("run")
-    learnt = F.col("role") == "assistant"
-    return placed.select(
-        "conv_id", "perspective", (F.col("rows") + F.col("k")).cast("long").alias("position"), "turn", "speaker", "role", "name", "segment", start.alias("start"), "length",
-        F.when(learnt, start + F.col("head")).otherwise(start).alias("mask_start"), F.when(learnt, F.col("length") - F.col("head") - 1).otherwise(F.lit(0)).cast("long").alias("mask_length"),
+    placed = placed.select("at", "perspective", "head", "length", (F.col("chars") + F.col("run")).alias("start"), (F.col("rows") + F.col("k")).cast("long").alias("position"))
+    whole = placed.join(ranged.drop("part"), "at")
+    return whole.select(
+        "conv_id", "perspective", "position", "turn", "speaker", role.alias("role"), name.alias("name"), F.concat(head, "text", F.lit(END + "\n")).alias("segment"), "start", "length",
+        F.when(own, F.col("start") + F.col("head")).otherwise(F.col("start")).alias("mask_start"), F.when(own, F.col("length") - F.col("head") - 1).otherwise(F.lit(0)).cast("long").alias("mask_length"),
     )
 
 

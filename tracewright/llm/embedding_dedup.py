@@ -137,8 +137,15 @@ def _search(index: Index, cosine: float):
         a, b = a[exact], b[exact]
         other = node[q[a]] != node[m[b]]
         a, b = a[other], b[other]
-        # a pair that its member finds from its own side, too, counts there for the member
-        both = (lists[m[b]] == lists[q[a], :1]).any(axis=1)
+        # a pair that its member finds from its own side, too, counts there for the member; the coded distance of that side tells
+        home = lists[q[a], 0]
+        both = (lists[m[b]] == home[:, None]).any(axis=1)
+        c = np.flatnonzero(both)
+        for k in range(0, len(c), 65536):
+            part = c[k : k + 65536]
+            centre = index.centres[home[part]]
+            far = x[m[b[part]]] - centre - index.decode(index.encode(x[q[a[part]]] - centre))
+            both[part] = (far * far).sum(axis=1) <= reach
         links = np.zeros(len(node), np.int64)
         np.add.at(links, q[a], n[m[b]])
         np.add.at(links, m[b[~both]], n[q[a[~both]]])

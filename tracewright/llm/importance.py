@@ -64,16 +64,18 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
 
 
 def weighed(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """docs(row, doc_id, target, text) with n_grams and log_weight in place of text."""
+    """docs(row, doc_id, text) with a hash of the text, n_grams and log_weight in place of text."""
+    import xxhash
 
     def run(batches):
         for b in batches:
-            doc, bucket = features(b.column(3))
+            doc, bucket = features(b.column(2))
+            prints = np.fromiter((xxhash.xxh64_intdigest(t or b"", seed=0) >> 1 for t in b.column(2).cast(pa.large_binary()).to_pylist()), np.int64, b.num_rows)
             n = np.bincount(doc, minlength=b.num_rows)
             w = np.bincount(doc, weights=ratio[bucket], minlength=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n.astype(np.int64)), pa.array(w)], ["row", "doc_id", "target", "n_grams", "log_weight"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints), pa.array(n.astype(np.int64)), pa.array(w)], ["row", "doc_id", "print", "n_grams", "log_weight"])
 
-    return docs.select("row", "doc_id", "target", "text").mapInArrow(run, "row long, doc_id long, target boolean, n_grams long, log_weight double")
+    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, print long, n_grams long, log_weight double")
 
 
 def threshold(keys: DataFrame, k: int) -> tuple[int, int]:
@@ -99,12 +101,11 @@ def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP, seed: int =
 
     Target text is that of documents whose label has quality 1 and isn't toxic, TARGETS of them at most;
     raw text is all text, and every document is weighed.
-    log_weight is the log of the ratio of the two bag models over the document's hashed words and
-    word pairs, per n-gram and times the square root of their number, so that length alone decides
-    little. gumbel_key adds noise that follows from the seed, the id and the text; the ceil(keep * rows)
+    log_weight is the log of the ratio of the two bag models over all of the document's hashed words and
+    word pairs. gumbel_key adds noise that follows from the seed, the id and the text; the ceil(keep * rows)
     rows of the largest keys are selected, which draws that many rows without replacement in
     proportion to exp(log_weight). Null and empty texts weigh nothing and draw like any other.
-    Rows that repeat id and text have equal keys, and if the limit falls among equal keys the lower
+    Rows that repeat id and text, null ids among them, have equal keys, and if the limit falls among equal keys the lower
     row numbers are selected. Labels are matched by id; a repeated one counts as quality 1 if any
     says so and as toxic if any does. No rows give no rows.
     """
@@ -114,10 +115,9 @@ def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP, seed: int =
     lean = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = lean.join(F.broadcast(good), "doc_id", "left").select("row", "doc_id", F.coalesce("target", F.lit(False)).alias("target"), "text")
     ratio = log_ratio(*bucket_counts(marked))
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)), F.lit(1 << 52))
+    draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("print"), F.lit(0)), F.lit(seed)), F.lit(1 << 52))
     noise = -F.log(-F.log((draw + 0.5) / F.lit(float(1 << 52))))
-    weight = F.when(F.col("n_grams") > 0, F.col("log_weight") / F.sqrt("n_grams")).otherwise(F.lit(0.0))
-    scored = stash(weighed(lean.withColumn("target", F.lit(False)), ratio).select("row", "doc_id", "n_grams", weight.alias("log_weight"), (weight + noise).alias("gumbel_key")), "importance")
+    scored = stash(weighed(lean, ratio).select("row", "doc_id", "n_grams", "log_weight", (F.col("log_weight") + noise).alias("gumbel_key")), "importance")
     # keys in steps of 2^-40, shifted to be non-negative
     whole = F.least(F.greatest((F.col("gumbel_key") + F.lit(float(1 << 20))) * F.lit(float(1 << 40)), F.lit(0.0)), F.lit(float(1 << 62))).cast("long")
     n = scored.count()

@@ -46,8 +46,10 @@ class Model:
 
 
 def letters(texts: pa.Array) -> list[str]:
-    """Lower-cased texts with every run of other characters as one space; null is empty."""
-    return pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(plain(texts)), r"[^\p{L}\p{M}]+", " "), " ").to_pylist()
+    """Lower-cased texts with every run of characters but letters and marks as one space; null, and a text without a letter, is empty."""
+    texts = plain(texts)
+    spaced = pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\p{L}\p{M}]+", " "), " ")
+    return pc.if_else(pc.match_substring_regex(texts, r"\p{L}"), spaced, "").to_pylist()
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +150,8 @@ def train(labelled: DataFrame) -> Model | None:
 
     Language counts and document frequencies come from every row. Weights come from at most
     PER_LANGUAGE rows of a language, SAMPLE in all (whole texts, reduced to counts before they reach
-    the driver), chosen by a hash of the key; one row in CALIBRATION of them sets the temperature.
+    the driver), chosen by a hash of the key; one row in CALIBRATION of them sets the temperature. Where many rows
+    repeat a drawn key, the first 2 * SAMPLE by a hash of their counts stay.
     """
     labelled = labelled.where(F.col("lang").isNotNull())
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -170,7 +173,7 @@ def train(labelled: DataFrame) -> Model | None:
     place = {lang: k for k, lang in enumerate(languages)}
     rows = []
     # rows arrive in any order; the learner takes them in one of its own, so that it learns the same each time
-    for r in sorted(chosen.limit(2 * SAMPLE).toLocalIterator(), key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["counts"]))):
+    for r in sorted(chosen.orderBy(F.xxhash64("at", "counts"), "lang", "at", "counts").limit(2 * SAMPLE).toLocalIterator(), key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["counts"]))):
         at = np.frombuffer(r["at"], "<i4")
         if len(at):
             rows.append((at, vector(at, np.frombuffer(r["counts"], "<i4"), idf), place[r["lang"]]))

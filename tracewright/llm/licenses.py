@@ -27,6 +27,8 @@ TEMPLATES = {
         "This project is available under the terms of the MIT License.",
         "SPDX-License-Identifier: MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
     ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
@@ -34,27 +36,34 @@ TEMPLATES = {
         "Licensed under the GPL version 2 or later.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
         "You should have received a copy of the GNU General Public License along with this program.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     ),
     "lgpl": (
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "You can redistribute this library under the terms of the GNU Lesser General Public License.",
         "SPDX-License-Identifier: LGPL-2.1-only",
         "Released under the LGPL.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     ),
     "agpl": (
         "Licensed under the GNU Affero General Public License, version 3.",
         "SPDX-License-Identifier: AGPL-3.0-only",
         "Released under the AGPL.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.",
     ),
     "bsd": (
         "Use of this source code is governed by a BSD-style license.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
         "Licensed under the BSD 3-Clause License.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ),
     "mpl-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at mozilla.org under the terms of the Mozilla Public License.",
         "SPDX-License-Identifier: MPL-2.0",
     ),
     "cc-by-nc": (
@@ -110,8 +119,10 @@ OTHER = (
     "See the license file for details.",
     "The domain of the function is the set of real numbers.",
 )
-#: A paragraph with none of these has no licence wording. Every template has one.
+#: A paragraph with none of these has no licence wording and can't be confirmed: without them it has less than CONFIRMED of any template's n-grams.
 WORDING = ("licen", "copyright", "permission is", "redistribut", "public domain", "warrant", "all rights reserved", "gpl", "unencumbered", "spdx")
+#: Of OTHER, every so many are kept from the learner and calibrate it.
+HELD_OTHER = 4
 #: Word n-grams of 1 to ORDERS words.
 ORDERS = 3
 #: A family counts from this calibrated probability and this part of a template's n-grams.
@@ -159,7 +170,7 @@ def train() -> Model:
     """Multinomial logistic regression by stochastic descent over the templates and OTHER, whole and with words left out.
 
     Copies with one word in seven left out (never one that a single family uses) make the model less sure of any single word; a second
-    set of copies, which it doesn't learn from, sets the temperature, with targets smoothed by one error.
+    set of copies, and the paragraphs of OTHER that it doesn't learn from, set the temperature, with targets smoothed by one error.
     """
     families = (*TEMPLATES, UNKNOWN)
     rng = random.Random(SEED)
@@ -173,8 +184,10 @@ def train() -> Model:
     def thinned(text: str) -> str:
         return " ".join(w for w in words_of(text) if len(users[w]) == 1 or rng.random() > 1 / 7)
 
-    fit = [(grams_of(t), f) for t, f in texts] + [(grams_of(thinned(t)), f) for t, f in texts for _ in range(COPIES)]
-    held = [(grams_of(thinned(t)), f) for t, f in texts for _ in range(2)]
+    kept = {t for t in OTHER[::HELD_OTHER]}
+    known = [(t, f) for t, f in texts if t not in kept]
+    fit = [(grams_of(t), f) for t, f in known] + [(grams_of(thinned(t)), f) for t, f in known for _ in range(COPIES)]
+    held = [(grams_of(thinned(t)), f) for t, f in known for _ in range(2)] + [(grams_of(t), f) for t, f in texts if t in kept for _ in range(2)]
     weights: dict[str, dict[str, float]] = {}
     bias = dict.fromkeys(families, 0.0)
     for step in range(PASSES):
