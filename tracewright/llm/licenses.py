@@ -119,7 +119,7 @@ OTHER = (
     "See the license file for details.",
     "The domain of the function is the set of real numbers.",
 )
-#: A paragraph with none of these has no licence wording and can't be confirmed: without them it has less than CONFIRMED of any template's n-grams.
+#: Only paragraphs with one of these are judged. That can lose a notice: 40 of 55 n-grams of an Apache template have none of them (test_no_licence_without_its_wording fails on this).
 WORDING = ("licen", "copyright", "permission is", "redistribut", "public domain", "warrant", "all rights reserved", "gpl", "unencumbered", "spdx")
 #: Of OTHER, every so many are kept from the learner and calibrate it.
 HELD_OTHER = 4
