@@ -233,6 +233,15 @@ to use, copy, modify, merge, publish, distribute, sublicense, and/or sell"""
     assert got[1].n_unknown == 0 and (got[0].n_worded, got[0].n_unknown) == (2, 1) and got[5].n_unknown == 1
 
 
+def test_notice_without_licence_words(spark):
+    """A part of a notice that is confirmed by pairs of its words alone has its family; prose with such a pair isn't counted."""
+    part = "Unless required by applicable law or agreed to in writing, software distributed under the terms is distributed on an AS IS BASIS."
+    texts = [part, part.replace(" ", "  ").replace("software", "/* software"), part.replace("writing, ", "writing,\n * "), "The applicable law, agreed to in writing, has changed."]
+    assert not any(w in t.lower() for w in licenses.LICENCE_WORDS for t in texts)
+    got = {r.doc_id: (r.licences, r.n_worded, r.n_unknown) for r in licenses.scan(some(spark, *texts)).collect()}
+    assert got == {0: ("apache-2.0", 0, 0), 1: ("apache-2.0", 0, 0), 2: ("apache-2.0", 0, 0), 3: ("", 0, 0)}
+
+
 # --- packing -------------------------------------------------------------------------------------
 def test_packing_round_trip(spark):
     t = Tokenizer.from_file(TOKENIZER)

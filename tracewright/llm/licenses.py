@@ -119,8 +119,8 @@ OTHER = (
     "See the license file for details.",
     "The domain of the function is the set of real numbers.",
 )
-#: Only paragraphs with one of these are judged. That can lose a notice: 40 of 55 n-grams of an Apache template have none of them (test_no_licence_without_its_wording fails on this).
-WORDING = ("licen", "copyright", "permission is", "redistribut", "public domain", "warrant", "all rights reserved", "gpl", "unencumbered", "spdx")
+#: Words by which a paragraph is reported as worded.
+LICENCE_WORDS = ("licen", "copyright", "permission is", "redistribut", "public domain", "warrant", "all rights reserved", "gpl", "unencumbered", "spdx")
 #: Of OTHER, every so many are kept from the learner and calibrate it.
 HELD_OTHER = 4
 #: Word n-grams of 1 to ORDERS words.
@@ -142,6 +142,34 @@ def grams_of(text: str) -> list[str]:
     return sorted({" ".join(words[k : k + n]) for n in range(1, ORDERS + 1) for k in range(len(words) - n + 1)})
 
 
+def wording() -> tuple[str, ...]:
+    """LICENCE_WORDS, and pairs of words of the templates, of which any paragraph that CONFIRMED of a template can confirm has one.
+
+    Pairs are added to a template until its n-grams without any of them are too few to confirm it; long words that OTHER
+    lacks come first, as fewer paragraphs have them.
+    """
+    out = list(LICENCE_WORDS)
+    prose = [f" {' '.join(words_of(t))} " for t in OTHER]
+    for t in sorted((t for group in TEMPLATES.values() for t in group), key=len, reverse=True):
+        grams, words = grams_of(t), words_of(t)
+        while len(left := [g for g in grams if not any(w in g for w in out)]) >= CONFIRMED * len(grams) - 1e-9:
+            pairs = [p for p in map(" ".join, zip(words, words[1:])) if any(p in g for g in left)]  # noqa: B905
+            out.append(max(pairs, key=lambda p: (not any(f" {p} " in o for o in prose), -sum(len(w) < 4 for w in p.split()), sum(p in g for g in left), len(p), p)))  # noqa: B023
+    return tuple(out)
+
+
+#: Only paragraphs with one of these are judged.
+WORDING = wording()
+
+
+def pattern(words) -> str:
+    """A pattern of any of the words in lower-cased text, whatever signs stand between those of a pair; alternatives are grouped by their first letter."""
+    first: dict[str, list[str]] = {}
+    for w in words:
+        first.setdefault(w[0], []).append(re.escape(w[1:]).replace(r"\ ", "[^a-z0-9]+"))
+    return "|".join(f"{k}(?:{'|'.join(v)})" for k, v in sorted(first.items()))
+
+
 @dataclass(frozen=True)
 class Model:
     """weights: (gram, family, weight) of families and UNKNOWN; bias by family; grams of each template."""
@@ -236,9 +264,10 @@ def gram_column(text: Column) -> Column:
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, n_paragraphs, n_worded, n_unknown, licences, best_probability, best_template) for every row of docs(doc_id, text).
 
-    Paragraphs are the lines of the whole text that aren't blank. One with licence wording gets the
-    family of highest calibrated probability; if that is UNKNOWN, has less than PROBABILITY, or no template
-    of the family has CONFIRMED of its n-grams in the paragraph, the paragraph is unknown. Notices with hard line breaks
+    Paragraphs are the lines of the whole text that aren't blank. One with any of WORDING, which none that a template can
+    confirm lacks, gets the family of highest calibrated probability; if that is UNKNOWN, has less than PROBABILITY, or no
+    template of the family has CONFIRMED of its n-grams in the paragraph, the paragraph has none, and is unknown if it is
+    worded, that is, has any of LICENCE_WORDS. Notices with hard line breaks
     are read, too: all runs of up to RUN lines without a blank one between them, and all lines between two blank
     ones, are judged in the same way, and worded lines of the shortest runs that have a family aren't unknown. licences joins
     the families found in alphabetical order ('' if none); best_probability and best_template are the
@@ -250,12 +279,13 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     spark = docs.sparkSession
     whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
     paragraphs = F.filter(F.split(whole, "\r?\n"), lambda p: F.btrim(p) != "")
-    has_wording = lambda p: F.lower(p).rlike("|".join(WORDING))
+    picks = lambda p: F.lower(p).rlike(pattern(WORDING))
+    worded = lambda p: F.lower(p).rlike(pattern(LICENCE_WORDS))
     # wording may itself be broken over lines, with comment signs between
-    across = lambda p: F.regexp_replace(F.lower(p), "[^a-z0-9.]+", " ").rlike("|".join(WORDING))
+    across = lambda p: F.regexp_replace(F.lower(p), "[^a-z0-9.]+", " ").rlike(pattern(WORDING))
     wrapped = F.transform(F.filter(F.split(whole, r"\r?\n\s*\r?\n"), lambda p: F.btrim(p, F.lit("\r\n ")).contains("\n") & across(p)), lambda p: F.filter(F.split(p, "\r?\n"), lambda x: F.btrim(x) != ""))
     lean = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), paragraphs.alias("paragraphs"), wrapped.alias("wrapped"))
-    found = stash(lean.select("row", "doc_id", F.size("paragraphs").cast("long").alias("n_paragraphs"), F.filter("paragraphs", has_wording).alias("worded"), "wrapped"), "licences")
+    found = stash(lean.select("row", "doc_id", F.size("paragraphs").cast("long").alias("n_paragraphs"), F.filter("paragraphs", picks).alias("picked"), "wrapped"), "licences")
     # the bias is the weight of an n-gram that every paragraph has
     table = [(g, f, float(w)) for g, own in [("", model.bias), *model.weights.items()] for f, w in own.items()]
     weights = spark.createDataFrame(table, "gram string, family string, weight double")
@@ -277,12 +307,12 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
         sure = F.coalesce((F.col("family") != UNKNOWN) & (F.col("probability") >= PROBABILITY) & (F.col("matched") >= CONFIRMED - 1e-9), F.lit(False))
         return best.join(matched(grams, *key), [*key, "family"], "left").select(*key, "family", "probability", "matched", sure.alias("sure"))
 
-    lines = found.where(F.size("worded") > 0).select("row", F.posexplode("worded").alias("place", "text"))
+    lines = found.where(F.size("picked") > 0).select("row", F.posexplode("picked").alias("place", "text")).withColumn("worded", worded(F.col("text")))
     single = stash(judged(lines, "row", "place").join(lines, ["row", "place"]), "licences-lines")
     # a run has no more of a template than its whole paragraph, and where lines alone tell all there is nothing to look for
     blocks = found.where(F.size("wrapped") > 0).select("row", F.posexplode("wrapped").alias("block", "lines"))
     likely = matched(blocks.select("row", "block", F.explode(gram_column(F.array_join("lines", "\n"))).alias("gram")), "row", "block").where(F.col("matched") >= CONFIRMED - 1e-9)
-    told = single.groupBy("row").agg(F.collect_set(F.when(F.col("sure"), F.col("family"))).alias("told"), F.bool_or(~F.col("sure")).alias("left"))
+    told = single.groupBy("row").agg(F.collect_set(F.when(F.col("sure"), F.col("family"))).alias("told"), F.bool_or(~F.col("sure") & F.col("worded")).alias("left"))
     open_ = likely.join(told, "row", "left").where(F.coalesce(F.col("left") | ~F.array_contains("told", F.col("family")), F.lit(True))).select("row", "block").distinct()
     n = F.size("lines")
     spans = F.filter(F.array_distinct(F.array_append(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda s: F.transform(F.sequence(F.lit(2), F.lit(RUN)), lambda k: F.struct(s.alias("at"), k.alias("k"))))), F.struct(F.lit(1).alias("at"), n.alias("k")))), lambda x: (x["at"] + x["k"] <= n + 1) & (x["k"] > 1))
@@ -294,7 +324,7 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     shortest = sure.groupBy("row", "block", "family").agg(F.collect_list(own).alias("all")).select("row", "family", F.explode(F.filter("all", lambda x: ~F.exists("all", lambda y: inner(x, y)))).alias("x")).select("row", "family", "x.*")
     held = stash(shortest.select("row", "family", "probability", "matched", "lines"), "licences-runs")
     covered = held.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("covered"))
-    counted = single.join(covered, "row", "left").select("row", "family", "probability", "matched", "sure", (~F.col("sure") & ~F.coalesce(F.array_contains("covered", F.col("text")), F.lit(False))).alias("unknown"))
+    counted = single.join(covered, "row", "left").select("row", "family", "probability", "matched", "sure", (F.col("worded") & ~F.col("sure") & ~F.coalesce(F.array_contains("covered", F.col("text")), F.lit(False))).alias("unknown"))
     counted = counted.unionByName(held.select("row", "family", "probability", "matched", F.lit(True).alias("sure"), F.lit(False).alias("unknown")))
     of_doc = counted.groupBy("row").agg(
         F.count_if("unknown").alias("n_unknown"),
@@ -303,7 +333,7 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
         F.max(F.when(F.col("sure"), F.col("matched"))).alias("best_template"),
     )
     return found.join(of_doc, "row", "left").select(
-        "doc_id", "n_paragraphs", F.size("worded").cast("long").alias("n_worded"), F.coalesce("n_unknown", F.lit(0)).cast("long").alias("n_unknown"), F.coalesce("licences", F.lit("")).alias("licences"), "best_probability", "best_template"
+        "doc_id", "n_paragraphs", F.size(F.filter("picked", worded)).cast("long").alias("n_worded"), F.coalesce("n_unknown", F.lit(0)).cast("long").alias("n_unknown"), F.coalesce("licences", F.lit("")).alias("licences"), "best_probability", "best_template"
     )
 
 
