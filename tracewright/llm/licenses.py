@@ -163,11 +163,14 @@ WORDING = wording()
 
 
 def pattern(words) -> str:
-    """A pattern of any of the words in lower-cased text, whatever signs stand between those of a pair; alternatives are grouped by their first letter."""
-    first: dict[str, list[str]] = {}
+    """A pattern of any of the words in lower-cased text, whatever signs stand between those of a pair; a pair starts with a word, and pairs are grouped by their first letter."""
+    body = lambda w: re.escape(w).replace(r"\ ", "[^a-z0-9]+")
+    pairs: dict[str, list[str]] = {}
     for w in words:
-        first.setdefault(w[0], []).append(re.escape(w[1:]).replace(r"\ ", "[^a-z0-9]+"))
-    return "|".join(f"{k}(?:{'|'.join(v)})" for k, v in sorted(first.items()))
+        if w not in LICENCE_WORDS:
+            pairs.setdefault(w[0], []).append(body(w[1:]))
+    alone = [body(w) for w in words if w in LICENCE_WORDS]
+    return "|".join(alone + ([f"(?<![a-z0-9])(?:{'|'.join(k + '(?:' + '|'.join(sorted(v)) + ')' for k, v in sorted(pairs.items()))})"] if pairs else []))
 
 
 @dataclass(frozen=True)
@@ -278,14 +281,14 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     model = model or train()
     spark = docs.sparkSession
     whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    paragraphs = F.filter(F.split(whole, "\r?\n"), lambda p: F.btrim(p) != "")
     picks = lambda p: F.lower(p).rlike(pattern(WORDING))
     worded = lambda p: F.lower(p).rlike(pattern(LICENCE_WORDS))
-    # wording may itself be broken over lines, with comment signs between
-    across = lambda p: F.regexp_replace(F.lower(p), "[^a-z0-9.]+", " ").rlike(pattern(WORDING))
-    wrapped = F.transform(F.filter(F.split(whole, r"\r?\n\s*\r?\n"), lambda p: F.btrim(p, F.lit("\r\n ")).contains("\n") & across(p)), lambda p: F.filter(F.split(p, "\r?\n"), lambda x: F.btrim(x) != ""))
-    lean = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), paragraphs.alias("paragraphs"), wrapped.alias("wrapped"))
-    found = stash(lean.select("row", "doc_id", F.size("paragraphs").cast("long").alias("n_paragraphs"), F.filter("paragraphs", picks).alias("picked"), "wrapped"), "licences")
+    # most documents have none of it in their whole text and need no look at their lines; signs and line breaks may stand within a pair
+    lean = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), whole.alias("whole")).withColumn("hit", picks(F.col("whole")))
+    split = lean.select("row", "doc_id", "whole", "hit", F.filter(F.split("whole", "\r?\n"), lambda p: F.btrim(p) != "").alias("paragraphs"))
+    wrapped = F.transform(F.filter(F.split("whole", r"\r?\n\s*\r?\n"), lambda p: F.btrim(p, F.lit("\r\n ")).contains("\n") & picks(p)), lambda p: F.filter(F.split(p, "\r?\n"), lambda x: F.btrim(x) != ""))
+    none = F.array()
+    found = stash(split.select("row", "doc_id", F.size("paragraphs").cast("long").alias("n_paragraphs"), F.when(F.col("hit"), F.filter("paragraphs", picks)).otherwise(none.cast("array<string>")).alias("picked"), F.when(F.col("hit"), wrapped).otherwise(none.cast("array<array<string>>")).alias("wrapped")), "licences")
     # the bias is the weight of an n-gram that every paragraph has
     table = [(g, f, float(w)) for g, own in [("", model.bias), *model.weights.items()] for f, w in own.items()]
     weights = spark.createDataFrame(table, "gram string, family string, weight double")
@@ -316,7 +319,7 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     open_ = likely.join(told, "row", "left").where(F.coalesce(F.col("left") | ~F.array_contains("told", F.col("family")), F.lit(True))).select("row", "block").distinct()
     n = F.size("lines")
     spans = F.filter(F.array_distinct(F.array_append(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda s: F.transform(F.sequence(F.lit(2), F.lit(RUN)), lambda k: F.struct(s.alias("at"), k.alias("k"))))), F.struct(F.lit(1).alias("at"), n.alias("k")))), lambda x: (x["at"] + x["k"] <= n + 1) & (x["k"] > 1))
-    runs = blocks.join(open_, ["row", "block"]).select("row", "block", "lines", F.explode(spans).alias("s")).select("row", "block", "s.at", "s.k", F.slice("lines", F.col("s.at"), F.col("s.k")).alias("lines")).withColumn("text", F.array_join("lines", "\n")).where(across(F.col("text")))
+    runs = blocks.join(open_, ["row", "block"]).select("row", "block", "lines", F.explode(spans).alias("s")).select("row", "block", "s.at", "s.k", F.slice("lines", F.col("s.at"), F.col("s.k")).alias("lines")).withColumn("text", F.array_join("lines", "\n")).where(picks(F.col("text")))
     runs = stash(runs, "licences-runs")
     sure = judged(runs, "row", "block", "at", "k").where("sure").join(runs, ["row", "block", "at", "k"])
     own = F.struct("at", "k", "lines", "probability", "matched")
