@@ -318,7 +318,9 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     told = single.groupBy("row").agg(F.collect_set(F.when(F.col("sure"), F.col("family"))).alias("told"), F.bool_or(~F.col("sure") & F.col("worded")).alias("left"))
     open_ = likely.join(told, "row", "left").where(F.coalesce(F.col("left") | ~F.array_contains("told", F.col("family")), F.lit(True))).select("row", "block").distinct()
     n = F.size("lines")
-    spans = F.filter(F.array_distinct(F.array_append(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda s: F.transform(F.sequence(F.lit(2), F.lit(RUN)), lambda k: F.struct(s.alias("at"), k.alias("k"))))), F.struct(F.lit(1).alias("at"), n.alias("k")))), lambda x: (x["at"] + x["k"] <= n + 1) & (x["k"] > 1))
+    # a line whose longest run has no wording starts no shorter one that has
+    starts = F.filter(F.sequence(F.lit(1), n), lambda s: picks(F.array_join(F.slice("lines", s, F.lit(RUN)), "\n")))
+    spans = F.filter(F.array_distinct(F.array_append(F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(F.lit(2), F.lit(RUN)), lambda k: F.struct(s.alias("at"), k.alias("k"))))), F.struct(F.lit(1).alias("at"), n.alias("k")))), lambda x: (x["at"] + x["k"] <= n + 1) & (x["k"] > 1))
     runs = blocks.join(open_, ["row", "block"]).select("row", "block", "lines", F.explode(spans).alias("s")).select("row", "block", "s.at", "s.k", F.slice("lines", F.col("s.at"), F.col("s.k")).alias("lines")).withColumn("text", F.array_join("lines", "\n")).where(picks(F.col("text")))
     runs = stash(runs, "licences-runs")
     sure = judged(runs, "row", "block", "at", "k").where("sure").join(runs, ["row", "block", "at", "k"])
