@@ -28,14 +28,14 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or LOCAL_FOLDER).rstrip("/")
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
+def stash(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives a lost executor.
 
     All tables of an application are in a folder of its id, which can go when the application has ended.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

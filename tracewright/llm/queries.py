@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewright.llm import chat
+from tracewright.llm import chat, lexical_search
 from tracewright.llm.decontaminate import op2_decontaminate
 from tracewright.llm.embedding_dedup import op10_embedding_dedup
 from tracewright.llm.html_text import op6_html_text
@@ -24,9 +24,10 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_secrets": op9_secrets,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_lexical_search": lexical_search.op11_lexical_search,
 }
 
-ORACLES: dict[str, str] = {"op3_chat": chat.ORACLE}
+ORACLES: dict[str, str] = {"op3_chat": chat.ORACLE, "op11_lexical_search": lexical_search.ORACLE}
 
 
 def _pipeline(spark, sf_dir):
