@@ -10,6 +10,7 @@ from tracewright.llm.importance import op1_importance
 from tracewright.llm.langid import op8_langid
 from tracewright.llm.licenses import op4_licenses
 from tracewright.llm.packing import op5_packing
+from tracewright.llm.periodic_runs import op12_periodic_runs
 from tracewright.llm.secrets import op9_secrets
 from tracewright.llm.simhash_dedup import op7_simhash_dedup
 
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_lexical_search": lexical_search.op11_lexical_search,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {"op3_chat": chat.ORACLE, "op11_lexical_search": lexical_search.ORACLE}
