@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewright.llm import chat, lexical_search
+from tracewright.llm import chat, lexical_search, substring_dedup
 from tracewright.llm.decontaminate import op2_decontaminate
 from tracewright.llm.embedding_dedup import op10_embedding_dedup
 from tracewright.llm.html_text import op6_html_text
@@ -27,9 +27,10 @@ QUERIES = {
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_lexical_search": lexical_search.op11_lexical_search,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_substring_dedup": substring_dedup.op13_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {"op3_chat": chat.ORACLE, "op11_lexical_search": lexical_search.ORACLE}
+ORACLES: dict[str, str] = {"op3_chat": chat.ORACLE, "op11_lexical_search": lexical_search.ORACLE, "op13_substring_dedup": substring_dedup.ORACLE}
 
 
 def _pipeline(spark, sf_dir):
