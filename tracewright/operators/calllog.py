@@ -136,19 +136,19 @@ def busiest_window(points: DataFrame, seconds: int = QUOTA_SECONDS, chunk: int =
     return best.select(F.timestamp_micros("from").alias("start"), F.timestamp_micros("us").alias("end"), F.col("total").alias("saved"))
 
 
-def repeat_calls(calls: DataFrame, seconds: int = REPEAT_SECONDS) -> DataFrame:
-    """calls(sid, fp, ts, tok, force, ord) with stub, n and original tok.
+def repeat_calls(calls: DataFrame, seconds: int = REPEAT_SECONDS, order: tuple[str, ...] = ("ts", "ord")) -> DataFrame:
+    """calls(sid, fp, ts, tok, force, ord) with stub, n and original tok; order ("ord",) takes them as they were appended.
 
     A call repeats one of the same session and fingerprint if the latest of those is less than `seconds`
     old; a stub renews that time and keeps the n and tok of its original. n counts the session's rows.
-    A forced call is always an original. 0 seconds turn repeats off.
+    A forced call, and one from before the latest (a clock ahead), is always an original. 0 seconds turn repeats off.
     """
-    same = W.partitionBy("sid", "fp").orderBy("ts", "ord")
-    session = W.partitionBy("sid").orderBy("ts", "ord")
+    same = W.partitionBy("sid", "fp").orderBy(*order)
+    session = W.partitionBy("sid").orderBy(*order)
     gap = F.col("ts") - F.lag("ts").over(same)
     fresh = gap.isNull() | (gap >= seconds) | (gap < 0) | F.coalesce("force", F.lit(False))
     step = calls.withColumn("seq", F.row_number().over(session).cast("long")).withColumn("fresh", fresh).withColumn("island", F.sum(F.when(F.col("fresh"), 1).otherwise(0)).over(same))
-    first = W.partitionBy("sid", "fp", "island").orderBy("ts", "ord")
+    first = W.partitionBy("sid", "fp", "island").orderBy(*order)
     return step.select("sid", "fp", "ts", "ord", (~F.col("fresh")).alias("stub"), F.first("seq").over(first).alias("n"), F.first("tok").over(first).alias("tok"))
 
 

@@ -1,16 +1,26 @@
-"""Tables in the folder that driver and executors share."""
+"""Tables and folders in the folder that driver and executors share."""
 
 from __future__ import annotations
 
+import re
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: Where they go if a local session names no checkpoint folder.
+LOCAL_FOLDER = "/tmp/checkpoints"
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path below the folder that the session names; only a local master may name none. All of an application are in a folder of its id."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(named or LOCAL_FOLDER).rstrip('/')}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a written table, read back; the session names the folder, and only without a name it is a local one."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """df as a written table, read back."""
+    path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
