@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions.scalars import toon
@@ -23,10 +23,19 @@ def _cell(df: DataFrame, column: str):
     return F.array_join(c.cast("array<string>"), " ") if df.schema[column].dataType.typeName() == "array" else c.cast("string")
 
 
+def line_of(df: DataFrame, columns: list[str], form: str) -> Column:
+    """SK2-SK4: a row as an indented line of comma-separated scalars, as a line of a table, or as a JSON object (nothing is escaped for HTML)."""
+    if form == "json":
+        return F.to_json(F.struct(*columns))
+    if form == "md":
+        cells = [F.replace(F.coalesce(_cell(df, c), F.lit("")), F.lit("|"), F.lit("\\|")) for c in columns]
+        return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    return F.concat(F.lit("  "), F.concat_ws(",", *[F.coalesce(toon(_cell(df, c)), F.lit('""')) for c in columns]))
+
+
 def toon_rows(df: DataFrame) -> DataFrame:
-    """SK2: each row as an indented line of comma-separated scalars."""
-    cells = [F.coalesce(toon(_cell(df, c)), F.lit('""')) for c in df.columns]
-    return df.select(F.concat(F.lit("  "), F.concat_ws(",", *cells)).alias("line"))
+    """SK2."""
+    return df.select(line_of(df, df.columns, "toon").alias("line"))
 
 
 def toon_header(name: str, columns: list[str], n: int) -> str:
@@ -35,14 +44,13 @@ def toon_header(name: str, columns: list[str], n: int) -> str:
 
 
 def markdown_rows(df: DataFrame) -> DataFrame:
-    """SK3: each row as a line of a table."""
-    cells = [F.replace(F.coalesce(_cell(df, c), F.lit("")), F.lit("|"), F.lit("\\|")) for c in df.columns]
-    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+    """SK3."""
+    return df.select(line_of(df, df.columns, "md").alias("line"))
 
 
 def json_rows(df: DataFrame) -> DataFrame:
-    """SK4: each row as a JSON object; nothing is escaped for HTML and nothing is capped."""
-    return df.select(F.to_json(F.struct(*df.columns)).alias("line"))
+    """SK4."""
+    return df.select(line_of(df, df.columns, "json").alias("line"))
 
 
 def render(df: DataFrame, name: str, form: str = "toon", most: int = 1000) -> str:

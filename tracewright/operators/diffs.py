@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewright.functions.classify import path_category, path_language
 from tracewright.functions.scalars import count_or_zero, hunk_section, renamed_to
+from tracewright.operators.ordered import Ordered
 
 
 def name_status(lines: DataFrame) -> DataFrame:
@@ -25,10 +25,10 @@ def churn(lines: DataFrame) -> DataFrame:
 def hunk_symbols(lines: DataFrame) -> DataFrame:
     """Distinct hunk sections of each file in the order in which they first occur; deleted files have none.
 
-    A diff is one ordered text, so the file name is carried down it in one window.
+    A diff is one ordered text: the file name is carried down it over ranges of lines.
     """
     name = F.when(F.startswith("line", F.lit("+++ ")), F.regexp_replace(F.substring("line", 5, 1 << 20), "^b/", ""))
-    carried = lines.withColumn("path", F.last(name, ignorenulls=True).over(W.orderBy("ord")))
+    carried = Ordered(lines.select("ord", "line"), "ord", values={"path": name}).rows()
     sections = carried.where(F.startswith("line", F.lit("@@")) & (F.col("path") != "/dev/null")).select("path", "ord", hunk_section(F.col("line")).alias("symbol")).where("symbol <> ''")
     first = sections.groupBy("path", "symbol").agg(F.min("ord").alias("ord"))
     return first.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ord", "symbol"))).alias("s")).select("path", F.col("s.symbol").alias("symbols"))

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import classify as C
 from tracewright.functions.scalars import age_days, script_value, strict_time, version_compare, version_key
+from tracewright.operators.ordered import Ordered
 
 RUNS, PULLS, REFS = 5, 30, 50
+#: Attempts at a registry.
+ATTEMPTS = 3
 #: A line that names a failure.
 FAILURE = r"(?i)\b(error|fail(ed|ure|ures)?|fatal|exception)\b"
 
@@ -108,3 +111,35 @@ def bundle_drift(receipts: DataFrame, files: DataFrame) -> DataFrame:
     held = files.select("path", F.sha2("content", 256).alias("now"))
     joined = receipts.join(held, "path", "left")
     return joined.groupBy("pack").agg(F.count_if(F.col("now").isNull()).alias("missing"), F.count_if(F.col("now") == F.col("sha256")).alias("ok"), F.count_if(F.col("now") != F.col("sha256")).alias("modified")).orderBy("pack")
+
+
+def worktrees(lines: DataFrame) -> DataFrame:
+    """SC21: a row for each block of lines(ord, line) of a worktree listing, its blocks numbered down the listing."""
+    of = lambda key: F.max(F.when(F.startswith("line", F.lit(key + " ")), F.substring("line", len(key) + 2, 1 << 20)))
+    blocks = Ordered(lines.select("ord", "line"), "ord", sums={"block": F.when(F.startswith("line", F.lit("worktree ")), 1).otherwise(0)})
+    rows = blocks.rows().where("block > 0").groupBy("block").agg(of("worktree").alias("dir"), of("HEAD").alias("head"), of("branch").alias("ref"), F.bool_or(F.col("line") == "detached").alias("detached"))
+    return rows.select("block", "dir", F.substring_index("dir", "/", -1).alias("slug"), "head", F.regexp_replace("ref", "^refs/heads/", "").alias("branch"), "detached")
+
+
+def registry_states(attempts: DataFrame, most: int = ATTEMPTS, pause: float = 0.2) -> DataFrame:
+    """SC17: (name, state, version, attempts, waited) from attempts(name, ord, status, retry_after, version) at a registry, in the order of ord.
+
+    200 with a version is published and without one unknown, 404 unpublished; 429, 500 and more, and no status (the
+    network failed) are tried again, up to `most` attempts; any other status is unknown at once. Before the next attempt the pause is
+    what a 429 asks for (whole seconds above 0), else `pause`, three times as long each time; waited sums them, without the jitter a
+    caller adds. Attempts after the one that decides are not looked at.
+    """
+    first = attempts.withColumn("k", F.row_number().over(W.partitionBy("name").orderBy("ord"))).where(F.col("k") <= most)
+    listed = first.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("k", "status", "retry_after", "version"))).alias("a"))
+
+    def step(s: Column, x: Column) -> Column:
+        again = x["status"].isNull() | (x["status"] == 429) | (x["status"] >= 500)
+        state = F.when(x["status"] == 404, "unpublished").when((x["status"] == 200) & (F.coalesce(x["version"], F.lit("")) != ""), "published").when(again & (x["k"] < most), F.lit(None).cast("string")).otherwise("unknown")
+        asked = F.when((x["status"] == 429) & (x["retry_after"] > 0), x["retry_after"].cast("double"))
+        wait = F.when(again & (x["k"] < F.least(F.lit(most), F.size("a"))), F.coalesce(asked, F.lit(pause) * F.pow(F.lit(3.0), x["k"] - 1))).otherwise(0.0)
+        after = F.struct(state.alias("state"), F.when(state == "published", x["version"]).alias("version"), x["k"].cast("long").alias("attempts"), (s["waited"] + wait).alias("waited"))
+        return F.when(s["state"].isNotNull(), s).otherwise(after)
+
+    start = F.struct(F.lit(None).cast("string").alias("state"), F.lit(None).cast("string").alias("version"), F.lit(0).cast("long").alias("attempts"), F.lit(0.0).alias("waited"))
+    end = listed.select("name", F.aggregate("a", start, step).alias("s"))
+    return end.select("name", F.coalesce("s.state", F.lit("unknown")).alias("state"), "s.version", "s.attempts", F.round("s.waited", 3).alias("waited"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.classify import heavy_tool_hint, is_human, shell_category
 from tracewright.functions.scalars import collapse, cost, cut_bytes, project_of_dir, result_text, short_id, strict_time, tokens, tool_brief
+from tracewright.operators.names import longest_prefix
 
 #: A result of so many tokens is a heavy one; so many are listed.
 FAT_TOKENS, FAT_LISTED = 1500, 15
@@ -158,15 +159,12 @@ def repeated_reads(touches: DataFrame, least: int = 2, limit: int = CANDIDATES)
 
 
 def priced(sessions: DataFrame, prices: DataFrame) -> DataFrame:
-    """Sessions with the rates of their model: the exact name, or one that it continues after a dash.
+    """Sessions with the rates of their model: the exact name, or one that it continues after a dash, the longest; null without one.
 
-    The price table has a few dozen rows; it is sent to the sessions if Spark finds it small.
+    Models meet names by equality, whatever the size of either table.
     """
-    p = prices.select(F.col("model").alias("known"), F.col("input").alias("rate_in"), F.col("output").alias("rate_out"))
-    match = (F.col("model") == F.col("known")) | F.startswith("model", F.concat("known", F.lit("-")))
-    names = sessions.select("model").distinct()
-    rated = names.join(p, match).groupBy("model").agg(F.max_by(F.struct("rate_in", "rate_out"), F.struct((F.col("model") == F.col("known")), F.length("known"))).alias("r"))
-    return sessions.join(rated.select("model", "r.rate_in", "r.rate_out"), "model", "left")
+    rates = prices.select(F.col("model").alias("_name"), F.col("input").alias("rate_in"), F.col("output").alias("rate_out"))
+    return longest_prefix(sessions, "model", rates, "_name", "-").drop("_name")
 
 
 def value(sessions: DataFrame, prices: DataFrame, now: Column, days: int = 7) -> dict[str, DataFrame]:

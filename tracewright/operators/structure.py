@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewright.functions.scalars import smaller_of, tokens
+from tracewright.operators.names import longest_prefix
 from tracewright.sources.shared import written
 
 DECLS = "path string, ord int, kind string, owner string, name string, detail string, exported boolean, start_line int, end_line int"
@@ -500,11 +501,10 @@ def unresolved(links: DataFrame, types: DataFrame) -> DataFrame:
 
 
 def psr4_path(names: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """The file of each class by the longest prefix of its name."""
-    hit = names.join(prefixes, F.startswith("fqcn", F.col("prefix")))
-    best = hit.groupBy("fqcn").agg(F.max_by(F.struct("prefix", "dir"), F.length("prefix")).alias("b"))
-    rest = F.replace(F.substring(F.col("fqcn"), F.length("b.prefix") + 1, F.length("fqcn")), F.lit("\\"), F.lit("/"))
-    return best.select("fqcn", F.concat(F.rtrim(F.col("b.dir"), F.lit("/")), F.lit("/"), rest, F.lit(".php")).alias("path"))
+    """The file of each class by the longest prefix of its name; prefixes end with a backslash, and the empty one fits all. None has no row."""
+    bare = prefixes.select(F.regexp_replace("prefix", r"\\$", "").alias("bare"), F.col("prefix"), "dir")
+    hit = longest_prefix(names.select("fqcn").distinct(), "fqcn", bare, "bare", "\\")
+    return hit.where("prefix IS NOT NULL").select("fqcn", F.concat(F.rtrim(F.col("dir"), F.lit("/")), F.lit("/"), F.replace(F.substring(F.col("fqcn"), F.length("prefix") + 1, F.length("fqcn")), F.lit("\\"), F.lit("/")), F.lit(".php")).alias("path"))
 
 
 def resolved(name: Column, namespace: Column, imports: Column) -> Column:

@@ -8,7 +8,6 @@ from tracewright.functions import classify as C
 from tracewright.functions import scalars as S
 from tracewright.operators import diffs as D
 from tracewright.operators import releases as R
-from tracewright.sources import files as SC
 from tracewright.sources.stand_ins import table
 
 NOW = "2024-06-14 12:00:00"
@@ -230,4 +229,4 @@ def _(spark, sf):
     k = F.col("s_suppkey")
     part = lambda j, line: s.select((k * 10 + j).alias("ord"), line.alias("line"))
     lines = part(0, F.concat(F.lit("worktree /w/"), F.col("s_name"))).unionByName(part(1, F.lit("HEAD abc"))).unionByName(part(2, F.when(k % 4 == 0, "detached").otherwise(F.concat(F.lit("branch refs/heads/b"), k.cast("string")))))
-    return SC.worktrees(lines).select("block", "dir", "slug", "branch", "detached")
+    return R.worktrees(lines).select("block", "dir", "slug", "branch", "detached")

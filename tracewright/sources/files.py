@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.classify import extension
 from tracewright.functions.scalars import json_number
-from tracewright.sources.schemas import PACKAGE
+from tracewright.sources.shared import written
 
 #: Longest line of a log or a text file, and the part of a file in which a NUL marks it as binary.
 LINE_BYTES, PEEK_BYTES = 4 << 20, 8000
@@ -66,19 +66,31 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return parse_log(json_lines(spark, path))
 
 
-def transcripts(spark: SparkSession, root: str, modified_after: str | None = None) -> DataFrame:
-    """SC4, SC5, SC7: lines of root/*/*.jsonl with path, line number in the file, stem, directory and modification time.
+def numbered_lines(spark: SparkSession, path: str, since: Column | str | None = None) -> DataFrame:
+    """Lines (file, line_no, value, mtime) of text files, of any size and in any number of splits, numbered from 1 in each file.
 
-    modified_after prunes whole files before any of their lines is read.
+    Lines are counted by split, and a split's lines are numbered on from those of the splits before it, so no task holds a file.
+    since, a time or an expression of one without columns, prunes files by when they were modified, before they are read.
     """
-    reader = spark.read.format("text")
-    if modified_after:
-        reader = reader.option("modifiedAfter", modified_after)
-    rows = reader.load(f"{root}/*/*.jsonl").select("value", "_metadata.file_path", F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    # a file's splits are read in order of their start, and a split's lines in order of at
-    numbered = rows.withColumn("line_no", F.row_number().over(W.partitionBy("file_path").orderBy("block", "at")).cast("long"))
-    name = F.substring_index("file_path", "/", -1)
-    return numbered.select(F.col("file_path").alias("path"), "line_no", F.regexp_replace(name, r"\.jsonl$", "").alias("stem"), F.element_at(F.split("file_path", "/"), -2).alias("dir_name"), "mtime", F.try_parse_json("value").alias("v")).where("v IS NOT NULL")
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    if since is not None:
+        at = F.lit(since).cast("timestamp") if isinstance(since, str) else since
+        rows = rows.where(F.col("_metadata.file_modification_time") >= at)
+    lines = written(rows, "lines")  # numbered as they were read, whatever splits a later reading would have
+    splits = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    offsets = splits.select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("first") + 1).alias("offset"))
+    return lines.join(offsets, ["file", "block"]).select("file", (F.col("at") + F.col("offset")).alias("line_no"), "value", "mtime")
+
+
+def transcripts(spark: SparkSession, root: str, modified_after: Column | str | None = None, files: str = "*/*.jsonl") -> DataFrame:
+    """SC4, SC5, SC7: lines of the transcripts below root with path, line number in the file, stem, directory and modification time.
+
+    modified_after prunes whole files before any of their lines is read. Lines that aren't JSON are left out, but counted.
+    """
+    rows = numbered_lines(spark, f"{root}/{files}", modified_after)
+    stem = F.regexp_replace(F.substring_index("file", "/", -1), r"\.[a-z]+$", "")
+    return rows.select(F.col("file").alias("path"), "line_no", stem.alias("stem"), F.element_at(F.split("file", "/"), -2).alias("dir_name"), "mtime", F.try_parse_json("value").alias("v")).where("v IS NOT NULL")
 
 
 def session_files(lines: DataFrame) -> DataFrame:
@@ -93,7 +105,7 @@ def select_session(files: DataFrame, selector: str) -> DataFrame:
     return files.withColumn("rank", rank).where("rank IS NOT NULL").orderBy("rank", F.desc("mtime"), "path").limit(1).drop("rank")
 
 
-def sessions_of(files: DataFrame, project: str = "", since: str | None = None) -> DataFrame:
+def sessions_of(files: DataFrame, project: str = "", since: Column | str | None = None) -> DataFrame:
     """SC7: files of a project (part of the directory, project or cwd, case aside) modified since a time."""
     names = [c for c in ("dir_name", "project", "cwd") if c in files.columns]
     hit = [F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(project.lower())) for c in names]
@@ -103,7 +115,9 @@ def sessions_of(files: DataFrame, project: str = "", since: str | None = None) -
         for h in hit[1:]:
             any_of = any_of | h
         out = out.where(any_of)
-    return out.where(F.col("mtime") >= F.lit(since).cast("timestamp")) if since else out
+    if since is None:
+        return out
+    return out.where(F.col("mtime") >= (F.lit(since).cast("timestamp") if isinstance(since, str) else since))
 
 
 def tree(spark: SparkSession, root: str, extensions: Iterable[str] = (), ignore: Iterable[str] = IGNORED, ignore_paths: Iterable[str] = ()) -> DataFrame:
@@ -162,10 +176,32 @@ def split_arguments(args: list[str], known: set[str]) -> tuple[list[str], list[s
     return [a for a, f in zip(args, is_file, strict=True) if f], [a for a, f in zip(args, is_file, strict=True) if not f]
 
 
-def packages(spark: SparkSession, root: str) -> DataFrame:
-    """SC13: package files below root, outside vendor folders, with their directory."""
-    docs = spark.read.format("json").schema(PACKAGE).option("multiLine", "true").option("mode", "DROPMALFORMED").option("recursiveFileLookup", "true").option("pathGlobFilter", "composer.json").load(root)
-    return docs.select("*", F.regexp_replace(F.col("_metadata.file_path"), "/composer.json$", "").alias("dir")).where(~F.col("dir").contains("/vendor/"))
+def package_documents(docs: DataFrame) -> DataFrame:
+    """SC13: packages (PACKAGE, with dir) of docs(dir, value), each value a whole document.
+
+    A document that isn't a JSON object, or in which a field that is read has another kind, is skipped. Maps have
+    whatever keys they have; null fields and null texts are absent.
+    """
+    v = docs.select("dir", F.try_parse_json("value").alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
+    kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get("v", path, "variant")), F.lit("VOID"))
+    text = lambda path: (kind(path) == "STRING") | (kind(path) == "VOID")
+    thing = lambda path: kind(path).startswith("OBJECT") | (kind(path) == "VOID")
+    texts = lambda path: F.coalesce(~F.exists(F.map_values(F.try_variant_get("v", path, "map<string,variant>")), lambda x: F.coalesce(F.schema_of_variant(x), F.lit("VOID")) != "STRING"), F.lit(True))
+    fits = text("$.name") & text("$.version") & text("$.type") & thing("$.scripts") & thing("$.autoload") & thing("$.autoload['psr-4']")
+    for field in ("$.require", "$['require-dev']"):
+        fits = fits & thing(field) & texts(field)
+    get = lambda path, to: F.try_variant_get("v", path, to)
+    return v.where(fits).select(
+        get("$.name", "string").alias("name"), get("$.version", "string").alias("version"), get("$.type", "string").alias("type"), get("$.require", "map<string,string>").alias("require"), get("$['require-dev']", "map<string,string>").alias("require-dev"),
+        get("$.scripts", "map<string,variant>").alias("scripts"), F.struct(get("$.autoload['psr-4']", "map<string,variant>").alias("psr-4")).alias("autoload"), "dir",
+    )
+
+
+def packages(spark: SparkSession, root: str, name: str = "composer.json") -> DataFrame:
+    """SC13: package files below root, outside vendor, module and version control folders, with their directory. name may be a glob."""
+    docs = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(root)
+    folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
+    return package_documents(docs.select(folder.alias("dir"), "value").where(~F.col("dir").rlike("/(vendor|node_modules|[.]git)(/|$)")))
 
 
 def find_package(packages: DataFrame, target: str) -> DataFrame:
@@ -186,17 +222,6 @@ def router_file(files: DataFrame) -> DataFrame:
     return files.withColumn("rank", rank).where("rank IS NOT NULL").orderBy("rank", "path").limit(1).drop("rank")
 
 
-def worktrees(lines: DataFrame) -> DataFrame:
-    """SC21: a row for each block of lines(ord, line) of a worktree listing.
-
-    The listing of one repository is small, so its blocks are numbered in one window.
-    """
-    block = F.sum(F.when(F.startswith("line", F.lit("worktree ")), 1).otherwise(0)).over(W.orderBy("ord"))
-    of = lambda key: F.max(F.when(F.startswith("line", F.lit(key + " ")), F.substring("line", len(key) + 2, 1 << 20)))
-    rows = lines.withColumn("block", block).where("block > 0").groupBy("block").agg(of("worktree").alias("dir"), of("HEAD").alias("head"), of("branch").alias("ref"), F.bool_or(F.col("line") == "detached").alias("detached"))
-    return rows.select("block", "dir", F.substring_index("dir", "/", -1).alias("slug"), "head", F.regexp_replace("ref", "^refs/heads/", "").alias("branch"), "detached")
-
-
 def psr4(text: Column) -> Column:
     """SC24: prefix and directory of each entry of a generated autoload map."""
     pairs = F.regexp_extract_all(text, F.lit(r"'([^']+)'\s*=>\s*array\(\s*\$\w+\s*\.\s*'[^']*'"), 0)
