@@ -132,9 +132,15 @@ def redact(docs: DataFrame, mark: str = "[secret]", **params) -> DataFrame:
 
     Overlapping spans are replaced as one. Rows without live spans, null texts among them, are untouched.
     Rows are numbered first, and texts meet the (few) spans of their own row, whatever their doc_id, in one join.
+    Repeated rows are each treated, columns may have any names, and no rows give no rows. params are those of
+    secret_spans(); repository and owner name columns of docs.
     """
-    rows = numbered(docs, "secrets-rows")
-    live = _judged(rows, F.col("_row"), **params).where("n_live > 0").select("row", "spans_live")
+    kept = [f"c{k}" for k in range(len(docs.columns))]
+    of = dict(zip(docs.columns, kept, strict=True))
+    rows = numbered(docs.toDF(*kept), "secrets-rows")
+    named = {c: params.pop(c, "source") for c in ("repository", "owner")}
+    lean = rows.select("_row", F.col(of["doc_id"]).alias("doc_id"), F.col(of["text"]).alias("text"), *[F.col(of[c]).alias(name) for name, c in named.items()])
+    live = _judged(lean, F.col("_row"), "repository", "owner", **params).where("n_live > 0").select("row", "spans_live")
 
     def merge(batches):
         for b in batches:
@@ -151,11 +157,11 @@ def redact(docs: DataFrame, mark: str = "[secret]", **params) -> DataFrame:
 
     cuts = stash(live.mapInArrow(merge, "_id long, _cut array<struct<s:int,e:int>>"), "secrets-live")
     both = rows.join(cuts, rows["_row"] == cuts["_id"], "left")
-    cut = F.aggregate("_cut", rows["text"], lambda t, x: F.concat(F.substring(t, F.lit(1), x["s"]), F.lit(mark), F.substring(t, x["e"] + 1, F.length(t))))
-    new = {"text": F.when(F.col("_cut").isNull(), rows["text"]).otherwise(cut)}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_cut").isNull(), rows["n_chars"]).otherwise(F.length(new["text"]).cast(docs.schema["n_chars"].dataType))
-    return both.select(*[new[c].alias(c) if c in new else rows[c] for c in docs.columns])
+    text = F.aggregate("_cut", F.col(of["text"]), lambda t, x: F.concat(F.substring(t, F.lit(1), x["s"]), F.lit(mark), F.substring(t, x["e"] + 1, F.length(t))))
+    new = {of["text"]: F.when(F.col("_cut").isNull(), F.col(of["text"])).otherwise(text)}
+    if "n_chars" in of:
+        new[of["n_chars"]] = F.when(F.col("_cut").isNull(), F.col(of["n_chars"])).otherwise(F.length(new[of["text"]]).cast(docs.schema["n_chars"].dataType))
+    return both.select(*[new.get(c, F.col(c)).alias(c) for c in kept]).toDF(*docs.columns)
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
