@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewright.llm._common import bounded_batches, hashed_words, read, rolling, stash
 
@@ -87,7 +88,8 @@ def threshold(keys: DataFrame, k: int) -> tuple[int, int]:
     fixed, left = 0, k
     for shift in range(64 - STEP, -1, -STEP):
         under = keys if shift == 64 - STEP else keys.where(F.shiftright("key", shift + STEP) == F.lit(fixed))
-        digit = F.shiftright("key", shift).bitwiseAND(F.lit((1 << STEP) - 1))
+        digit = F.shiftright("key", shift)
+        digit = digit if shift == 64 - STEP else digit.bitwiseAND(F.lit((1 << STEP) - 1))  # the first digit has the sign
         for r in sorted(under.groupBy(digit.alias("d")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["d"]):
             if r["n"] >= left:
                 fixed = fixed << STEP | r["d"]
@@ -96,6 +98,18 @@ def threshold(keys: DataFrame, k: int) -> tuple[int, int]:
     return fixed, left
 
 
+def by_bits(rows: DataFrame, column: str) -> DataFrame:
+    """rows with key, a whole number for each double of a column, in the same order as the doubles and as exact as they are."""
+    at = rows.columns.index(column)
+
+    def run(batches):
+        for b in batches:
+            bits = (b.column(at).to_numpy(zero_copy_only=False) + 0.0).view(np.int64)  # one zero
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.where(bits < 0, bits ^ np.int64((1 << 63) - 1), bits))], [*b.schema.names, "key"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("key", T.LongType())]))
+
+
 def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP, seed: int = SEED) -> DataFrame:
     """(doc_id, n_grams, log_weight, gumbel_key, selected) for every row of docs(doc_id, text).
 
@@ -118,13 +132,11 @@ def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP, seed: int =
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("print"), F.lit(0)), F.lit(seed)), F.lit(1 << 52))
     noise = -F.log(-F.log((draw + 0.5) / F.lit(float(1 << 52))))
     scored = stash(weighed(lean, ratio).select("row", "doc_id", "n_grams", "log_weight", (F.col("log_weight") + noise).alias("gumbel_key")), "importance")
-    # keys in steps of 2^-40, shifted to be non-negative
-    whole = F.least(F.greatest((F.col("gumbel_key") + F.lit(float(1 << 20))) * F.lit(float(1 << 40)), F.lit(0.0)), F.lit(float(1 << 62))).cast("long")
     n = scored.count()
     k = int(np.ceil(keep * n))
-    keyed = scored.withColumn("key", whole)
     if not 0 < k < n:
         return scored.select("doc_id", "n_grams", "log_weight", "gumbel_key", F.lit(k > 0).alias("selected"))
+    keyed = by_bits(scored, "gumbel_key")
     t, left = threshold(keyed.select("key"), k)
     ties = keyed.where(F.col("key") == t).select(F.col("row").alias("key"))
     # of equal keys the lowest rows: the left-th smallest row number is the k-th largest of the rest
