@@ -44,19 +44,29 @@ class Index:
         return np.take_along_axis(top, np.take_along_axis(d, top, axis=1).argsort(axis=1, kind="stable"), axis=1)
 
     def encode(self, residuals: np.ndarray) -> np.ndarray:
-        parts = residuals.reshape(len(residuals), len(self.codes), -1)
-        return np.stack([((c * c).sum(axis=1) - 2 * (parts[:, m] @ c.T)).argmin(axis=1) for m, c in enumerate(self.codes)], axis=1).astype(np.uint8)
+        return np.stack([self.table(residuals, m).argmin(axis=1) for m in range(len(self.codes))], axis=1).astype(np.uint8)
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return self.codes[np.arange(len(self.codes)), codes].reshape(len(codes), -1)
 
+    def table(self, residuals: np.ndarray, m: int) -> np.ndarray:
+        """Squared distances of one part of each residual to the codes of that part; a row's numbers don't depend on the other rows."""
+        part = residuals.reshape(len(residuals), len(self.codes), -1)[:, m]
+        return np.concatenate([((p[:, None] - self.codes[m][None]) ** 2).sum(axis=2) for p in np.array_split(part, 1 + len(part) // 2048)])
+
     def distances(self, queries: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Squared distances of exact residuals of queries to coded ones: one table per query, one look-up per subspace."""
-        parts = queries.reshape(len(queries), len(self.codes), -1)
         out = np.zeros((len(queries), len(codes)))
+        for m in range(len(self.codes)):
+            out += self.table(queries, m)[:, codes[:, m]]
+        return out
+
+    def distances_of_pairs(self, queries: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The same numbers, to the last bit, as distances() has for each query and the code of its own row."""
+        out = np.zeros(len(queries))
+        parts = queries.reshape(len(queries), len(self.codes), -1)
         for m, c in enumerate(self.codes):
-            table = (parts[:, m] ** 2).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None] - 2 * parts[:, m] @ c.T
-            out += table[:, codes[:, m]]
+            out += ((parts[:, m] - c[codes[:, m]]) ** 2).sum(axis=1)
         return out
 
 
@@ -144,8 +154,7 @@ def _search(index: Index, cosine: float):
         for k in range(0, len(c), 65536):
             part = c[k : k + 65536]
             centre = index.centres[home[part]]
-            far = x[m[b[part]]] - centre - index.decode(index.encode(x[q[a[part]]] - centre))
-            both[part] = (far * far).sum(axis=1) <= reach
+            both[part] = index.distances_of_pairs(x[m[b[part]]] - centre, index.encode(x[q[a[part]]] - centre)) <= reach
         links = np.zeros(len(node), np.int64)
         np.add.at(links, q[a], n[m[b]])
         np.add.at(links, m[b[~both]], n[q[a[~both]]])
