@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm._common import bounded_batches, mix, plain, read, rolling, stash
+from tracewright.llm._common import bits_of, bounded_batches, in_bits, mix, plain, read, rolling, stash
 from tracewright.llm.suffix_automaton import SuffixAutomaton
 
 #: Words of a window, which is the shortest passage to be removed, and of the runs that choose its shard.
@@ -25,8 +25,6 @@ WINDOW, RUN = 13, 5
 STRETCH = WINDOW - RUN + 1
 #: Stretches of one automaton at most; those of a larger shard go to shards of single windows.
 SHARD = 1024
-#: Bits of the filters that spare shuffles of rows that meet nothing; a false hit costs a row in a join, nothing else.
-BITS = 1 << 26
 #: Bytes that are hashed at once.
 PIECE = 1 << 20
 
@@ -101,21 +99,6 @@ def stretches(offsets: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...]:
     return text[at], at - offsets[text[at]], size, least[at], content
 
 
-def bits_of(rows: DataFrame, column: str) -> np.ndarray:
-    """A filter of BITS bits of a column's values, whatever their number."""
-    slot = F.pmod(F.col(column), F.lit(BITS))
-    parts = rows.groupBy(F.floor(slot / 32768).alias("part")).agg(F.bitmap_construct_agg(slot % 32768).alias("bits")).collect()
-    bits = np.zeros((BITS // 32768, 4096), np.uint8)
-    for r in parts:
-        bits[r["part"]] = np.frombuffer(r["bits"], np.uint8)
-    return bits.ravel()
-
-
-def in_bits(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = values.astype(np.int64) % BITS
-    return bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
-
-
 def _stretch_rows(docs: DataFrame, bits: np.ndarray | None) -> DataFrame:
     """Stretches of docs(doc, print, text) with the row they are of; with bits, those whose shard may be in them."""
     names = ["key", "content", "n", "doc", "print", "at"]
