@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -38,30 +39,56 @@ def pattern_regex(pattern: str, word: bool = False, regex: bool = False, ignore_
     return whole_word(text) if word else quoted(text)
 
 
-def offsets(text: Column, regex: str) -> Column:
-    """Byte offsets of the matches, left to right, that don't overlap: one pass over matches and what lies between them."""
-    found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    both = F.zip_with(F.slice(F.split(text, regex, -1), F.lit(1), F.size(found)), found, lambda between, match: F.struct(F.octet_length(between).alias("b"), F.octet_length(match).alias("m")))
+def offsets(text: Column, regex: str, length: int | None = None) -> Column:
+    """Byte offsets of the matches, left to right, that don't overlap: sums over what lies between them.
+
+    length is that of every match in bytes, if they are all of one; else the matches are looked up, too.
+    """
+    parts = F.split(text, regex, -1)
+    if length is None:
+        found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
+        both = F.zip_with(F.slice(parts, F.lit(1), F.size(found)), found, lambda between, match: F.struct(F.octet_length(between).alias("b"), F.octet_length(match).alias("m")))
+    else:
+        both = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda between: F.struct(F.octet_length(between).alias("b"), F.lit(length).alias("m")))
     start = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("at"))
-    run = F.aggregate(both, start, lambda a, x: F.struct((a["end"] + x["b"] + x["m"]).alias("end"), F.array_append(a["at"], a["end"] + x["b"]).alias("at")))
-    return run["at"]
+    run = F.aggregate(both, start, lambda a, x: F.struct((a["end"] + x["b"] + x["m"]).alias("end"), F.array_append(a["at"], a["end"] + x["b"]).alias("at")))["at"]
+    return run if length is None else F.when(F.size(parts) == 2, F.array(F.octet_length(F.get(parts, F.lit(0))))).otherwise(run)
+
+
+def holds(text: Column, patterns: list[str]) -> Column:
+    """Whether a text holds one of the literals."""
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in patterns])
 
 
 def hits(rows: DataFrame, patterns: list[str], word: bool = False, regex: bool = False, ignore_case: bool = False) -> DataFrame:
     """(pattern, path, ext, line, col, text) of every match; col counts bytes (of the lower-cased text for case-blind literals).
 
-    All patterns are matched in one pass over the lines; an empty one matches nothing.
+    All patterns are matched in one pass over the lines; an empty one matches nothing. Literals are looked for as such
+    before any expression runs.
     """
     text = F.lower("text") if ignore_case and not regex else F.col("text")
-    each = [(p, pattern_regex(p, word, regex, ignore_case)) for p in dict.fromkeys(patterns) if p]
+    each = [(p, pattern_regex(p, word, regex, ignore_case), None if regex else p.lower() if ignore_case else p) for p in dict.fromkeys(patterns) if p]
     if not each:
         return rows.limit(0).select(F.lit("").alias("pattern"), "path", "ext", "line", F.lit(0).alias("col"), "text")
-    any_of = text.rlike("|".join(f"(?:{r})" for _, r in each))
-    found = F.array(*[F.struct(F.lit(p).alias("pattern"), F.when(text.rlike(r), offsets(text, r)).otherwise(F.array().cast("array<int>")).alias("at")) for p, r in each])
+    any_of = text.rlike("|".join(f"(?:{r})" for _, r, _ in each)) if regex else holds(text, [plain for _, _, plain in each])
+    none = F.array().cast("array<int>")
+    at = lambda r, plain: F.when(text.rlike(r), offsets(text, r)).otherwise(none) if plain is None else F.when(F.contains(text, F.lit(plain)), offsets(text, r, len(plain.encode()))).otherwise(none)
+    found = F.array(*[F.struct(F.lit(p).alias("pattern"), at(r, plain).alias("at")) for p, r, plain in each])
     per = rows.where(any_of).select("path", "ext", "line", "text", F.explode(found).alias("f"))
     return per.select("path", "ext", "line", "text", F.col("f.pattern").alias("pattern"), F.explode("f.at").alias("col")).select("pattern", "path", "ext", "line", "col", "text")
 
 
+def with_scopes(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """Hits with the nearest scope that a line of rows strictly before theirs opens in the same file, '' if none.
+
+    Only hits and the lines that open a scope are dealt by file; the other lines stay where they are.
+    """
+    opened = rows.select("path", "line", scope_label(F.col("text"), F.col("ext")).alias("label")).where("label IS NOT NULL")
+    both = found.withColumn("label", F.lit(None).cast("string")).unionByName(opened, allowMissingColumns=True)
+    before = F.last("label", ignorenulls=True).over(W.partitionBy("path").orderBy("line").rangeBetween(W.unboundedPreceding, -1))
+    return both.withColumn("enclosing", F.coalesce(before, F.lit(""))).where("pattern IS NOT NULL").drop("label")
+
+
 def enclosing(rows: DataFrame, chunk: int = 4096) -> DataFrame:
     """Rows with the nearest scope that a line strictly before opens in the same file, '' if none.
 
@@ -78,9 +105,11 @@ def enclosing(rows: DataFrame, chunk: int = 4096) -> DataFrame:
 def grep(files: DataFrame, patterns: list[str], word: bool = False, regex: bool = False, ignore_case: bool = False) -> dict[str, DataFrame]:
     """Hits with their scopes, patterns with their files and hits (A20), patterns without a hit, skipped files, raw cost."""
     readable, skipped = split_text(files)
+    literals = [p for p in patterns if p]
+    if literals and not regex and not ignore_case:  # files without a hit are of no use
+        readable = readable.where(holds(F.col("content").cast("string"), literals))
     every = lines(readable)
-    found = hits(every, patterns, word, regex, ignore_case)
-    named = found.join(enclosing(every).select("path", "line", "enclosing"), ["path", "line"]).select("pattern", F.col("path").alias("file"), "line", "col", "enclosing", "text")
+    named = with_scopes(hits(every, patterns, word, regex, ignore_case), every).select("pattern", F.col("path").alias("file"), "line", "col", "enclosing", "text")
     asked = files.sparkSession.createDataFrame([(p,) for p in patterns], "pattern string")
     return {
         "hits": named.orderBy("file", "line", "col"),
@@ -121,8 +150,8 @@ def refs(files: DataFrame, symbol: str, extensions: tuple[str, ...] = REF_EXTENS
     """
     if not re.fullmatch(r"[^\W\d][\w$]*|[$_][\w$]*", symbol):
         raise ValueError(f"not an identifier: {symbol!r}")
-    every = lines(split_text(files.where(F.col("ext").isin(*extensions)))[0])
-    found = hits(every, [symbol], word=True).join(enclosing(every).select("path", "line", "enclosing"), ["path", "line"])
+    every = lines(split_text(files.where(F.col("ext").isin(*extensions) & F.contains(F.col("content").cast("string"), F.lit(symbol))))[0])
+    found = with_scopes(hits(every, [symbol], word=True), every)
     if decls is not None:
         found = innermost(found, decls)
     out = found.select(ref_kind(symbol, F.col("text"), F.col("ext")).alias("kind"), F.col("path").alias("file"), "line", "col", "enclosing", "text")
