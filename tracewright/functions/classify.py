@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,6 +37,13 @@ SCOPES = (
     ((".twig", ".tpl", ".html"), r"\{%\s*(block|macro)\s+([A-Za-z_][A-Za-z0-9_]*)"),
 )
 INI = r"^\s*\[([^\]]+)\]"
+# What declares a name (which stands for NAME), by extension, and how messages begin that no person wrote.
+DECLARATIONS = (
+    ((".go",), r"^\s*(func\s+(\([^)]*\)\s*)?|type\s+|const\s+|var\s+)NAME\b"),
+    ((".php",), r"\b(function|class|interface|trait|enum|const)\s+NAME\b"),
+    ((".ts", ".tsx", ".vue"), r"\b(export\s+)?(default\s+)?(async\s+)?(function|class|interface|type|enum|const|let)\s+NAME\b"),
+)
+INJECTED = ("<", "Caveat:", "[Request interrupted", "API Error", "This session is being continued")
 
 
 def first_match(rules: list[tuple[Column, object]], default) -> Column:
@@ -146,7 +154,7 @@ def heavy_tool_hint(tool: Column, hints: dict[str, str]) -> Column:
 def is_human(text: Column) -> Column:
     """neither blank nor one of the messages that tools put in a person's place."""
     t = F.regexp_replace(text, r"(?U)^\s+", "")
-    return (t != "") & ~t.rlike(r"^(<|Caveat:|\[Request interrupted|API Error|This session is being continued)")
+    return (t != "") & ~reduce(lambda a, b: a | b, [F.startswith(t, F.lit(p)) for p in INJECTED])
 
 
 def is_failing(status: Column, conclusion: Column) -> Column:
@@ -172,11 +180,8 @@ def scope_label(line: Column, ext: Column) -> Column:
 
 def ref_kind(symbol: str, line: Column, ext: Column) -> Column:
     """Def if the line declares the symbol in the file's language, else use."""
-    s = re.escape(symbol)
-    go = r"^\s*(func\s+(\([^)]*\)\s*)?|type\s+|const\s+|var\s+)" + s + r"\b"
-    php = r"\b(function|class|interface|trait|enum|const)\s+" + s + r"\b"
-    ts = r"\b(export\s+)?(default\s+)?(async\s+)?(function|class|interface|type|enum|const|let)\s+" + s + r"\b"
-    return first_match([((ext == ".go") & line.rlike(go), "def"), ((ext == ".php") & line.rlike(php), "def"), (ext.isin(".ts", ".tsx", ".vue") & line.rlike(ts), "def")], "use")
+    rules = [(ext.isin(*extensions) & line.rlike(pattern.replace("NAME", re.escape(symbol))), "def") for extensions, pattern in DECLARATIONS]
+    return first_match(rules, "use")
 
 
 STRUCTURAL = (".go", ".php", ".ts", ".tsx", ".vue")

@@ -472,17 +472,17 @@ def summaries(files: DataFrame, decls: DataFrame, floor: int = RAW_FLOOR, api: b
 
 
 # --- effective API -------------------------------------------------------------------------------
-def effective_api(types: DataFrame, links: DataFrame, methods: DataFrame, depth: int = 16) -> DataFrame:
+def effective_api(types: DataFrame, links: DataFrame, methods: DataFrame) -> DataFrame:
     """(root, method, via, place) of every method that a type answers to: its own, then its traits' (depth first), then its parents'.
 
     links(type, kind, target, ord) holds uses and extends; methods(type, name, ord) public ones. Each step
-    follows one more link from the types reached so far, up to `depth`; a type reached twice counts where it comes first.
+    follows one more link from the types reached so far, until it reaches no new one; a type reached twice counts where it comes first.
     """
     rank = F.concat(F.when(F.col("kind") == "uses", "1").otherwise("2"), F.lpad(F.col("ord").cast("string"), 5, "0"))
     step = links.select(F.col("type").alias("via"), "target", rank.alias("rank"))
     reached = types.select(F.col("type").alias("root"), F.col("type").alias("via"), F.lit("").alias("place"))
     front = reached
-    for _ in range(depth):
+    while True:
         front = front.join(step, "via").select("root", F.col("target").alias("via"), F.concat("place", F.lit("/"), "rank").alias("place"))
         front = front.join(reached.select("root", "via"), ["root", "via"], "left_anti")
         front = written(front, "effective-api")
