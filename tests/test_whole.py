@@ -11,6 +11,7 @@ from tracewright.operators import diffs, names, releases, sessions, structure
 from tracewright.operators.documents import Section, document, load_document, save_document
 from tracewright.operators.ordered import Ordered
 from tracewright.plans import source_queries
+from tracewright.sources import api_documents as A
 from tracewright.sources import files as SC
 
 NESTED = re.compile("NestedLoop|Cartesian")
@@ -175,6 +176,42 @@ def test_registry_attempts(spark):
     assert {r.name: (r.state, r.version, r.attempts, r.waited) for r in got.collect()} == {name: want for name, (_, want) in cases.items()}
 
 
+def test_review_documents(spark):
+    node = lambda repo, n, fork=False, review=None, ci="SUCCESS": {"number": n, "title": "t", "isDraft": False, "reviewDecision": review, "url": "u", "repository": {"nameWithOwner": repo, "isFork": fork}, "commits": {"nodes": [{"commit": {"statusCheckRollup": {"state": ci} if ci else None}}]}}
+    doc = {"data": {
+        "authored": {"nodes": [node("x/a", 5), node("x/b", 11, review="CHANGES_REQUESTED", ci="FAILURE"), node("x/c", 3, ci=None), {}, {"repository": {"nameWithOwner": ""}, "number": 1}]},
+        "review": {"nodes": [node("y/d", 42, review="REVIEW_REQUIRED", ci="PENDING"), node("x/a", 5)]},
+        "owned": {"nodes": [node("x/e", 7), node("x/f", 9, fork=True), node("x/a", 5)]},
+    }}
+    docs = spark.createDataFrame([(0, json.dumps(doc)), (1, '{"data":'), (2, "[]"), (3, None)], "ord int, value string")
+    got = releases.pull_requests(A.pull_request_documents(docs)).collect()
+    assert [(r.repo, r.number, r.ci, r.review, r.role) for r in got] == [("x/b", 11, "FAILURE", "CHANGES_REQUESTED", "author"), ("y/d", 42, "PENDING", "REVIEW_REQUIRED", "reviewer"), ("x/a", 5, "SUCCESS", "", "author"), ("x/c", 3, "NONE", "", "author"), ("x/e", 7, "SUCCESS", "", "owned")]
+    ref = lambda name, day, *pulls: {"name": name, "target": {"committedDate": day}, "associatedPullRequests": {"nodes": [{"number": n, "state": s} for n, s in pulls]}}
+    repo = lambda name, archived, main, *refs: {"nameWithOwner": name, "isArchived": archived, "defaultBranchRef": main and {"name": main}, "refs": {"nodes": list(refs)}}
+    tree = {"data": {"repositoryOwner": {"repositories": {"nodes": [repo("x/a", False, "main", ref("main", "2026-06-13T00:00:00Z"), ref("done", "2026-06-01T00:00:00Z", (11, "MERGED"), (2, "OPEN")), ref("spike", "bad")), repo("x/old", True, "main", ref("q", "2026-01-01T00:00:00Z")), repo("x/none", False, None, ref("z", "2026-01-01T00:00:00Z")), repo("x/b", False, "main", ref("live", "2026-06-12T00:00:00Z", (7, "OPEN")))]}}}}
+    rows = releases.branches(A.branch_documents(spark.createDataFrame([(json.dumps(tree),), ("{",)], "value string")), F.lit("2026-06-14").cast("timestamp")).collect()
+    assert [(r.repo, r.branch, r.age_days, r.pr, r.status) for r in rows] == [("x/a", "done", 13, "MERGED#11", "merged"), ("x/a", "spike", -1, "none", "no-pr"), ("x/b", "live", 2, "OPEN#7", "open")]
+    runs = A.run_documents(spark.createDataFrame([("p", '[{"databaseId":1,"status":"completed","conclusion":"success","createdAt":"2026-01-01"},{"databaseId":"x"}]'), ("p", '{"databaseId":2,"workflowName":"ci","createdAt":"2026-01-02"}'), ("q", "[]"), ("r", "no")], "pkg string, value string"))
+    assert [(r.pkg, r.id, r.workflow, r.status) for r in releases.ci_latest(runs).collect()] == [("p", 2, "ci", "")]
+    versions = A.registry_documents(spark.createDataFrame([("a/b", '{"packages":{"a/b":[{"version":"1.0"},{"version":"v1.10"},{"version":"2.0-beta"},{}],"c/d":[{"version":"9.0"}]}}'), ("e/f", '{"packages":[]}'), ("g/h", '{"packages":{}}')], "name string, value string"))
+    assert [(r.name, r.published) for r in releases.latest_stable(versions).collect()] == [("a/b", "v1.10")]
+
+
+def test_tag_listings(spark):
+    local = spark.createDataFrame([("a", "v1.0\n"), ("b", " 2.0 "), ("c", ""), ("d", "3.0"), ("e", "1.0")], "dir string, line string")
+    remote = spark.createDataFrame([("a", "abc\trefs/tags/v1.0"), ("a", "def\trefs/tags/v1.0^{}"), ("b", "abc\trefs/tags/2.0.1"), ("e", "")], "dir string, line string")
+    assert {r.dir: (r.local_tag, r.pushed) for r in A.tag_listings(local, remote).collect()} == {"a": ("v1.0", "yes"), "b": ("2.0", "no"), "d": ("3.0", "?"), "e": ("1.0", "no")}
+
+
+def test_links_are_followed_to_their_end(spark):
+    n = 24
+    types = spark.createDataFrame([(f"t{k}",) for k in range(n)], "type string")
+    links = spark.createDataFrame([(f"t{k}", "extends", f"t{k + 1}", 0) for k in range(n - 1)] + [(f"t{n - 1}", "extends", "t0", 0)], "type string, kind string, target string, ord int")
+    methods = spark.createDataFrame([(f"t{n - 1}", "far", 0)], "type string, name string, ord int")
+    got = structure.effective_api(types.where("type = 't0'"), links, methods).collect()
+    assert [(r.root, r.method, r.via) for r in got] == [("t0", "far", f"t{n - 1}")]
+
+
 # --- renderings ----------------------------------------------------------------------------------
 def test_document_keeps_its_order(spark, tmp_path, many_ranges):
     df = spark.createDataFrame([(k, f"n,{k}" if k % 2 else "") for k in random.Random(2).sample(range(500), 500)], "k int, name string").repartition(5)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("log_queries", "text_queries", "session_queries", "document_queries", "structure_queries", "stream_queries", "source_queries", "scalar_queries")
+MODULES = ("log_queries", "text_queries", "session_queries", "document_queries", "structure_queries", "stream_queries", "source_queries", "scalar_queries", "api_queries")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _name in MODULES:
