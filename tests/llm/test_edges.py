@@ -111,3 +111,30 @@ def test_every_link_of_near_vectors_counts_once(spark):
     got = {r.vec_id: r.n_links for r in E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert [got[k] for k in range(400)] == near.sum(axis=1).tolist()
     assert near.sum() > 2000
+
+
+def test_ownership_against_brute_force(spark):
+    rng = random.Random(12)
+    values = [f"token={k}Xy7Qp{k * 7919}" for k in range(8)] + ["password: aaaaaaaaaaaa", "AKIA" + "Z9" * 8]
+    rows = []
+    for k in range(90):
+        held = rng.sample(values, rng.randrange(3))
+        rows.append((k, rng.choice(["a b ", "x\n"]) + " ; ".join(held), rng.choice(["r1", "r2", "r3", "r4", "r5", "r6", None]), rng.choice(["o1", "o2", None])))
+    rows += [rows[3], (200, values[0], "only", "me"), (None, values[1], None, None), (201, None, "r1", "o1"), (202, "", "r1", "o1")]
+    repositories, owners = {}, {}
+    for _, text, repo, owner in rows:
+        for *_, value in secrets.scan(text or ""):
+            repositories.setdefault(value, set()).update([repo] if repo else [])
+            owners.setdefault(value, set()).update([owner] if owner else [])
+    want = []
+    for i, text, *_ in rows:
+        spans = secrets.scan(text or "")
+        copied = [len(repositories[s[4]]) >= 4 or len(owners[s[4]]) >= 2 for s in spans]
+        live = [not c and secrets.entropy(s[4]) >= secrets.LIVE_ENTROPY for c, s in zip(copied, spans, strict=True)]
+        some = lambda keep: secrets.joined((s[0], s[2], s[3]) for s, k in zip(spans, keep, strict=True) if k)  # noqa: B023, E731
+        want.append((i, sum(live), sum(copied), some(live), some(copied), some([True] * len(spans))))
+    df = spark.createDataFrame(rows, "doc_id long, text string, repo string, team string").repartition(3)
+    out = secrets.secret_spans(df, "repo", "team", 4, 2)
+    got = [(r.doc_id, r.n_live, r.n_copied, r.spans_live, r.spans_copied, r.spans) for r in out.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert {x for _, n, c, *_ in got for x in (n > 0, c > 0)} == {True, False}

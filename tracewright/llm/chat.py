@@ -63,6 +63,7 @@ def rotated(turns: DataFrame) -> DataFrame:
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rotated() of the whole conversations table; nulls, empty texts, repeated rows and an empty table as there."""
     return rotated(read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
 
 

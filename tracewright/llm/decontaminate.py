@@ -189,7 +189,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, into which no item leaks; filtered in the scan, without a shuffle."""
+    """The rows of docs, with all their columns, into which no item leaks; filtered in the scan, without a shuffle.
+
+    What leaks is told by leaks(): null and empty texts hold nothing and stay, as do all rows if the benchmark is empty.
+    Repeated rows stay or go together; columns may have any names; no rows give no rows.
+    """
     bounded_batches(docs.sparkSession)
     text = docs.columns.index("text")
     for index in blocks(benchmark):
@@ -203,4 +207,5 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """leaks() of the whole documents and benchmark tables; nulls, empty texts, repeated rows and an empty table as there."""
     return leaks(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))

@@ -251,4 +251,5 @@ def _of_size(points: DataFrame, d: int, cosine: float, sample: int) -> tuple[Dat
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() of the whole embeddings table; nulls, zero vectors, repeated rows and an empty table as there."""
     return near_duplicates(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))

@@ -150,4 +150,5 @@ def resample(docs: DataFrame, labels: DataFrame, keep: float = KEEP, seed: int =
 
 
 def op1_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """resample() of the whole documents and labels tables; nulls, empty texts, repeated rows and an empty table as there."""
     return resample(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))

@@ -216,13 +216,16 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """identify() of the whole documents table; nulls, empty texts, repeated rows and an empty table as there."""
     return identify(read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
 def select_clear(docs: DataFrame, least_score: float) -> DataFrame:
     """The rows of docs, with all their columns, whose predicted language has at least that score; und rows go.
 
-    The model learns as in identify(); rows are filtered in the scan, without a shuffle.
+    The model learns as in identify(); rows are filtered in the scan, without a shuffle. Null and empty texts and those
+    without a letter are und, whatever the least score. Repeated rows stay or go together, a null doc_id counts as one
+    that isn't held out, columns may have any names, and no rows give no rows.
     """
     bounded_batches(docs.sparkSession)
     lean = docs.select(F.col("doc_id").cast("string").alias("key"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))

@@ -343,4 +343,5 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scan() of the whole documents table; nulls, empty texts, repeated rows and an empty table as there."""
     return scan(read(spark, sf_dir, "documents", "doc_id", "text"))

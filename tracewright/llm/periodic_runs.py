@@ -189,9 +189,9 @@ def periodic_runs(docs: DataFrame, repeat_suffixes: bool = False) -> DataFrame:
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The number of runs of each document and the one of the greatest exact exponent; rows as periodic_runs() has them."""
     found = periodic_runs(read(spark, sf_dir, "documents", "doc_id", "text"), repeat_suffixes=True)
-    # length / period as whole part and rest: the rests of two runs are compared as fractions, without rounding
 
     def better(x, y):
+        # length / period of both as fractions, without rounding
         a, b = x["length"] * y["period"], y["length"] * x["period"]
         return (a > b) | ((a == b) & ((x["start"] < y["start"]) | ((x["start"] == y["start"]) & (x["period"] <= y["period"]))))
 

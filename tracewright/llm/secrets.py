@@ -165,4 +165,5 @@ def redact(docs: DataFrame, mark: str = "[secret]", **params) -> DataFrame:
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """secret_spans() of the whole documents table, source being repository and owner; nulls, empty texts, repeated rows and an empty table as there."""
     return secret_spans(read(spark, sf_dir, "documents", "doc_id", "source", "text"))

@@ -156,6 +156,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() of the whole documents table, fingerprints as hex digits; nulls, empty texts, repeated rows and an empty table as there."""
     found = near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", hex16("fp").alias("fingerprint"), "component_id")
 
