@@ -43,7 +43,8 @@ def _(spark, sf):
     return paths(spark, sf).select("doc_id", C.path_language(F.col("path")).alias("lang"), C.path_category(F.col("path")).alias("category"))
 
 
-def diff(spark, sf):
+def listings(spark, sf):
+    """Lines of a name-status, a numstat, a hunk and a status listing of changed documents."""
     p = paths(spark, sf).where("path <> 'go.mod'")
     k = F.col("doc_id")
     word = F.regexp_extract("text", "([A-Za-z]+)", 1)
@@ -55,7 +56,11 @@ def diff(spark, sf):
     for h in hunks:
         hunk = hunk.unionByName(h)
     porcelain = p.where(k % 7 == 3).select(k.alias("ord"), F.concat(F.lit("?? "), F.col("path")).alias("line"))
-    return D.changes(status, numstat, hunk, porcelain)
+    return status, numstat, hunk, porcelain
+
+
+def diff(spark, sf):
+    return D.changes(*listings(spark, sf))
 
 
 CHANGES_SQL = PATH_SQL + f""", c AS (SELECT doc_id AS k, path, {CATEGORY_SQL} AS category, {LANG_SQL} AS lang, regexp_extract(text, '([A-Za-z]+)', 1) AS w, n_chars FROM b WHERE path <> 'go.mod'),

@@ -7,12 +7,15 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
+from tracewright.functions import render as R2
 from tracewright.operators import calllog as L
+from tracewright.operators import diffs as DF
 from tracewright.operators import names as N
 from tracewright.operators import releases as R
 from tracewright.operators import search as T
 from tracewright.operators import sessions
 from tracewright.operators.documents import Section, document, load_document, save_document
+from tracewright.plans import document_queries as DQ
 from tracewright.plans import log_queries as LQ
 from tracewright.plans import text_queries as TQ
 from tracewright.sources import files as SC
@@ -225,3 +228,71 @@ def _(spark, sf):
 def _(spark, sf):
     rows = Section("refs", T.refs(declared(spark, sf), "the").select("kind", "file", "line", "col"), ["kind <> 'def'", "file", "line", "col"])
     return rows.lines.select("ordinal", F.regexp_replace("line", ",[0-9]+$", "").alias("line"))
+
+
+# --- captured text and logs ----------------------------------------------------------------------
+@query("sc15_captured_diff", DQ.CHANGES_SQL + "SELECT * FROM changes")
+def _(spark, sf):
+    # each listing as the text files of one folder, numbered as they are read
+    read = []
+    for lines in DQ.listings(spark, sf):
+        path = shared_path(spark, "listing")
+        save_document(lines.select(F.col("ord").alias("ordinal"), "line"), path)
+        with splits_of(spark):
+            read.append(load_document(spark, path).withColumnRenamed("ordinal", "ord"))
+    return DF.changes(*read).withColumn("symbols", F.array_join("symbols", "; "))
+
+
+@query("sk1_sc1_log_files", LQ.ORACLES["a1_tool_stats"])
+def _(spark, sf):
+    # appended twice; lines that aren't JSON objects are skipped, and fields of another kind are absent
+    path = shared_path(spark, "log")
+    log = call_log(spark, sf)
+    for part in (log.where("ord % 2 = 0"), log.where("ord % 2 = 1")):
+        R2.append_log(part.drop("ord", "fp", "err"), path)
+    log.where("ord % 10 = 0").select(F.element_at(F.array(F.lit("{broken"), F.lit("[1]"), F.lit("7"), F.lit("")), (F.col("ord") / 10 % 4 + 1).cast("int"))).write.mode("append").text(path)
+    return L.tool_stats(SC.read_log(spark, path))
+
+
+SELECTORS = ("last", "c1", "PROJ2", "p/c3.jsonl", "none")
+
+
+@query("sc6_selected_sessions", "WITH f AS (SELECT DISTINCT 'p/c' || conv_id || '.jsonl' AS path, 'c' || conv_id AS stem, 'proj' || (conv_id % 4) AS dir_name, conv_id * 7 % 31 AS t, conv_id FROM conversations),\n" + "a AS (SELECT * FROM (VALUES ('last'), ('c1'), ('proj2'), ('p/c3.jsonl'), ('none')) AS s(selector)),\nr AS (SELECT *, CASE WHEN path = selector THEN 0 WHEN selector = 'last' THEN 1 WHEN starts_with(stem, selector) THEN 2 WHEN contains(dir_name, selector) THEN 3 END AS rank FROM a, f)\nSELECT selector, stem FROM r WHERE rank IS NOT NULL QUALIFY row_number() OVER (PARTITION BY selector ORDER BY rank, t DESC, path) = 1")
+def _(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id").distinct()
+    n, k = F.col("conv_id").cast("string"), F.col("conv_id")
+    f = c.select(F.concat(F.lit("p/c"), n, F.lit(".jsonl")).alias("path"), F.concat(F.lit("c"), n).alias("stem"), F.concat(F.lit("proj"), (k % 4).cast("string")).alias("dir_name"), F.timestamp_seconds(k * 7 % 31).alias("mtime"))
+    out = None
+    for selector in SELECTORS:
+        one = SC.select_session(f, selector).select(F.lit(selector.lower()).alias("selector"), "stem")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("sc11_expanded", TQ.FILES + "SELECT path, CASE WHEN regexp_matches(path, '^src1/en/[^/]*[.]php$') THEN 0 ELSE 1 END AS input FROM files WHERE regexp_matches(path, '^src1/en/[^/]*[.]php$') OR starts_with(path, 'src2/de/') AND ext IN ('.go', '.php', '.ts')")
+def _(spark, sf):
+    found = SC.expand(files(spark, sf).select("path"), ["src1/en/*.php", "src2/de/"])
+    return found.select("path", F.when(F.col("path").rlike("^src1/en/[^/]*[.]php$"), 0).otherwise(1).alias("input"))
+
+
+@query("sc19_levels", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN 'max' WHEN 2 THEN CAST(p_size AS VARCHAR) ELSE '' END AS level FROM part")
+def _(spark, sf):
+    p, k, n = table(spark, sf, "part"), F.col("p_partkey"), F.col("p_size").cast("string")
+    first = F.when(k % 4 == 0, F.concat(F.lit("parameters:\n\tlevel: "), n)).when(k % 4 == 1, F.lit("level:   max\nlevel: 3"))
+    second = F.when(k % 4 < 3, F.concat(F.lit("x: 1\n    level: "), n, F.lit("\n"))).otherwise("nolevel: 4")
+    return p.select("p_partkey", F.coalesce(SC.neon_level(first, second), F.lit("")).alias("level"))
+
+
+@query("sc20_routers", TQ.FILES + ", r AS (SELECT CASE WHEN doc_id % 5 = 0 THEN 'web' || doc_id || '/router/index.ts' WHEN doc_id % 5 = 1 THEN 'a' || doc_id || '/router.ts' ELSE 'b/xrouter.ts' END AS path FROM documents) SELECT path FROM r WHERE path LIKE '%/router/index.ts' ORDER BY path LIMIT 1")
+def _(spark, sf):
+    k = F.col("doc_id")
+    n = k.cast("string")
+    d = table(spark, sf, "documents").select(F.when(k % 5 == 0, F.concat(F.lit("web"), n, F.lit("/router/index.ts"))).when(k % 5 == 1, F.concat(F.lit("a"), n, F.lit("/router.ts"))).otherwise("b/xrouter.ts").alias("path"))
+    return SC.router_file(d).select("path")
+
+
+@query("sc24_autoload_maps", "SELECT p_partkey, unnest(['App\\N' || p_partkey || '\\', 'Lib\\']) AS prefix, unnest(['/src/' || replace(p_name, ' ', '_'), '/lib']) AS dir FROM part")
+def _(spark, sf):
+    p, n = table(spark, sf, "part"), F.col("p_partkey").cast("string")
+    text = F.concat(F.lit("<?php\nreturn array(\n    'App\\\\N"), n, F.lit("\\\\' => array($baseDir . '/src/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("'),\n    'Lib\\\\' => array($vendorDir . '/lib', $vendorDir . '/more'),\n);\n"))
+    return p.select("p_partkey", F.explode(SC.psr4(text)).alias("e")).select("p_partkey", "e.prefix", "e.dir")
