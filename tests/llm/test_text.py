@@ -61,14 +61,22 @@ def test_importance_against_brute_force(spark):
             raw[b] += 1
             target[b] += k is not None and k % 3 == 0
     ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    def noise(k, t):
+        """Gumbel noise from the hash of the id's digits, the text's hash and the seed, each hashed with the one before as its seed."""
+        h = xxhash.xxh64_intdigest(b"" if k is None else str(k).encode(), 42)
+        h = xxhash.xxh64_intdigest((xxhash.xxh64_intdigest(t.encode(), 0) >> 1).to_bytes(8, "little"), h)
+        h = xxhash.xxh64_intdigest(importance.SEED.to_bytes(4, "little"), h)
+        return -np.log(-np.log((h % (1 << 52) + 0.5) / (1 << 52)))
+
     want = []
     for k, t in zip(ids, texts, strict=True):
-        w = sum(ratio[b] for b in buckets(t))
-        want.append(((k or 0), len(buckets(t)), round(float(w), 9)))
-    assert [g[:3] for g in got] == sorted(want) or np.allclose([g[2] for g in sorted(got)], [w[2] for w in sorted(want)], atol=1e-6)
-    # Gumbel keys: noise of its law, another for every text, and the largest keys selected
-    noise = np.array([g[3] - g[2] for g in got])
-    assert len(np.unique(noise.round(9))) >= len(set(zip(ids, texts, strict=True))) - 1 and abs(noise.mean() - 0.5772) < 0.4 and 0.7 < noise.std() < 1.9
+        w = float(sum(ratio[b] for b in buckets(t)))
+        want.append(((k or 0), len(buckets(t)), w, w + noise(k, t)))
+    got.sort(key=lambda g: (g[0], g[1], g[3]))
+    want.sort(key=lambda g: (g[0], g[1], g[3]))
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert np.allclose([g[2:4] for g in got], [w[2:4] for w in want], rtol=0, atol=1e-6)
+    assert {k for k, g in enumerate(got) if g[4]} == set(sorted(range(120), key=lambda k: -want[k][3])[:36])
     keys = sorted((g[3] for g in got), reverse=True)
     assert sum(g[4] for g in got) == 36 and min(g[3] for g in got if g[4]) >= keys[35] - 1e-6
 
@@ -171,7 +179,7 @@ def test_licence_model_knows_its_templates():
 def test_no_licence_without_its_wording():
     """The words that pick paragraphs lose none that could be confirmed."""
     for _, grams in licenses.train().templates:
-        assert sum(not any(w.split()[0] in g for w in licenses.WORDING) for g in grams) / len(grams) < licenses.CONFIRMED
+        assert sum(not any(w in g for w in licenses.WORDING) for g in grams) / len(grams) < licenses.CONFIRMED
 
 
 def test_licences_of_unseen_wordings():
