@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm._common import bounded_batches, mix, stash
+from tracewright.llm._common import bits_of, bounded_batches, in_bits, mix, stash
 from tracewright.llm.bk_tree import Forest
 from tracewright.llm.components import connected
 
@@ -144,10 +144,8 @@ def shards(nodes: DataFrame) -> DataFrame:
     A part is streamed, whatever its size. The first text of a part has a row of its own if another follows, or if
     the shingle is common, as other parts of the shard may then hold others.
     """
-    # half the bits of each of the two shingles before one, or of the row's number where there are none
-    half = lambda i: F.shiftrightunsigned(F.coalesce(F.get("prefix", i), F.xxhash64("row")), 32)
-    nodes = nodes.withColumn("prev", F.transform("prefix", lambda x, i: F.shiftleft(half(i - 1), 32).bitwiseOR(half(i - 2))))
-    entries = nodes.select(F.col("row").alias("node"), "n", "fp", "fp2", "score", F.posexplode(F.arrays_zip("prefix", "deal", "prev")).alias("at", "x")).select("x.prefix", "x.deal", "node", "n", "at", "fp", "fp2", "x.prev", "score").withColumnRenamed("prefix", "token")
+    shared = nodes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    entries = _entries(nodes, bits_of(shared, "token"))
     dealt = entries.repartition("token", "deal").sortWithinPartitions("token", "deal", F.desc("score"), "node").drop("score")
 
     def run(batches):
@@ -178,6 +176,35 @@ def shards(nodes: DataFrame) -> DataFrame:
     return dealt.select(*names[:8]).mapInArrow(run, SHARD)
 
 
+def _entries(nodes: DataFrame, bits: np.ndarray) -> DataFrame:
+    """A row for each shingle of the prefixes that may stand in another's, too, by a map of the shared ones.
+
+    prev has half the bits of each of the two shingles before it, or of the row's number where there are none.
+    """
+    names = ["token", "deal", "node", "n", "at", "fp", "fp2", "prev", "score"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+
+    def run(batches):
+        for b in batches:
+            row, n, fp, fp2, score = (b.column(c).to_numpy() for c in ("row", "n", "fp", "fp2", "score"))
+            token = b.column("prefix").flatten().to_numpy()
+            deal = b.column("deal").flatten().to_numpy()
+            size = np.diff(b.column("prefix").offsets.to_numpy())
+            of = np.repeat(np.arange(b.num_rows), size)
+            at = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+            high = token.view(np.uint64) >> np.uint64(32)
+            none = mix(row.view(np.uint64))[of] >> np.uint64(32)
+            back = [np.where(at >= k, np.concatenate((none[:k], high[:-k])) if len(high) >= k else none, none) for k in (1, 2)]
+            prev = (back[0] << np.uint64(32) | back[1]).view(np.int64)
+            keep = np.flatnonzero(in_bits(bits, token))
+            of, at = of[keep], at[keep]
+            columns = [token[keep], deal[keep], row[of], n[of], at, fp[of], fp2[of], prev[keep], score[of]]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype())) for c, t in zip(columns, types, strict=True)], names)
+
+    schema = ", ".join(f"{c} {'long' if t == pa.int64() else 'int'}" for c, t in zip(names, types, strict=True))
+    return nodes.select("row", "n", "fp", "fp2", "score", "prefix", "deal").mapInArrow(run, schema)
+
+
 def tree_pairs(entries: DataFrame) -> DataFrame:
     """(a, b): texts of entries(token, node, n, at, fp, fp2, prev, root) in one shard that are still apart and near enough by fingerprint, size and place.
 
