@@ -111,6 +111,11 @@ def deletable(branch: Column, status: Column, mode: str) -> Column:
     return ~kept & status.isin(*{"merged": ["merged"], "closed": ["merged", "closed"]}.get(mode, [""]))
 
 
+def plugin_state(error: Column, fit: Column, disabled: Column) -> Column:
+    """An error of loading counts before an unfit protocol (compatible() says which), and that before the user's choice."""
+    return F.when(F.coalesce(error, F.lit("")) != "", F.concat(F.lit("error: "), error)).when(fit != "ok", fit).when(F.coalesce(disabled, F.lit(False)), "disabled").otherwise("enabled")
+
+
 def ci_state(state: Column) -> Column:
     """C6."""
     return F.coalesce(F.nullif(state, F.lit("")), F.lit("NONE"))

@@ -228,3 +228,31 @@ def _(spark, sf):
     tok = F.col("out_tokens")
     raw = F.when(F.col("ord") % 3 == 0, F.lit(0).cast("long")).when(F.col("ord") % 3 == 1, F.lit(50).cast("long")).otherwise(tok * 2)
     return call_log(spark, sf).select("ord", S.footer(tok, raw).alias("footer"))
+
+
+# --- branches, reviews and plugins ---------------------------------------------------------------
+@query("f12_deletable", " UNION ALL ".join(f"SELECT '{mode}' AS mode, o_orderkey, o_orderkey % 5 > 0 AND o_orderkey % 4 {which} AS deletable FROM orders" for mode, which in (("merged", "= 0"), ("closed", "< 2"), ("", "> 9"))))
+def _(spark, sf):
+    k = F.col("o_orderkey")
+    branch = text(F.when(k % 5 == 0, "wt/").otherwise("feat/"), k.cast("string"))
+    status, out = C.branch_status(by(k, F.lit("MERGED"), F.lit("CLOSED"), F.lit("OPEN"), F.lit(None))), None
+    for mode in ("merged", "closed", ""):
+        one = table(spark, sf, "orders").select(F.lit(mode).alias("mode"), "o_orderkey", C.deletable(branch, status, mode).alias("deletable"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("c6_reviews", "SELECT p_partkey, " + cases("'approved'", "'changes'", "'review'", "'–'", "'–'") + " AS review, " + cases("'✗'", "'⏳'", "'✓'", "'–'", "'⏳'") + " AS glyph FROM part")
+def _(spark, sf):
+    p, k, _ = part(spark, sf)
+    review = by(k, *[F.lit(x) for x in ("APPROVED", "CHANGES_REQUESTED", "REVIEW_REQUIRED", "DISMISSED", None)])
+    state = by(k, *[F.lit(x) for x in ("ERROR", "EXPECTED", "SUCCESS", None, "PENDING")])
+    return p.select("p_partkey", C.review_short(review).alias("review"), C.ci_glyph(C.ci_state(state)).alias("glyph"))
+
+
+@query("e6_plugin_states", "SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'error: no ' || p_name WHEN p_partkey % 3 = 0 THEN 'too-new' WHEN p_partkey % 3 = 1 AND p_size > 5 THEN 'too-new' WHEN p_partkey % 2 = 0 THEN 'disabled' ELSE 'enabled' END AS state FROM part")
+def _(spark, sf):
+    p, k, name = part(spark, sf)
+    protocol = by(k, F.lit("3.0"), text("2.", F.col("p_size").cast("string")), text("1.", F.col("p_size").cast("string")))
+    error = F.when(k % 7 == 0, text("no ", name))
+    return p.select("p_partkey", C.plugin_state(error, S.compatible(F.lit("2.5"), protocol), k % 2 == 0).alias("state"))
