@@ -177,3 +177,14 @@ def test_suffix_automaton():
                 own = lambda n: [o for w, o in references if any(w[i : i + n] == query[k + 1 - n : k + 1] for i in range(len(w) - n + 1))]  # noqa: B023, E731
                 want = max((n for n in range(1, min(most, k + 1) + 1) if own(n)), default=0)
                 assert (length, least) == (want, min(own(want)) if want else NOBODY)
+
+
+def test_a_text_of_a_million_words(spark):
+    words = " ".join(f"w{k % 5003}" if k % 7 else f"u{k}" for k in range(1_000_000))
+    row = L.shard_of(pa.array([1, 2], pa.int64()), pa.array([words, "w1 w2"]))
+    assert row["n_terms"] == 1_000_002 and row["n_docs"] == 2 and int(row["df"].sum()) == len(set(words.split())) + 2
+    offsets, hashes = D.word_hashes(pa.array([words]))
+    _, _, n, key, _ = D.stretches(offsets, hashes)
+    assert len(hashes) == 1_000_000 and int(n.sum()) == 1_000_000 - 12 and len(np.unique(key)) > 100_000
+    docs = spark.createDataFrame([(1, "x " + words), (2, words + " y"), (3, "short")], "doc_id long, text string")
+    assert sorted(tuple(r)[:3] for r in D.without_repeats(docs).collect()) == [(1, 1_000_001, 0), (2, 1_000_001, 1_000_000), (3, 1, 0)]
