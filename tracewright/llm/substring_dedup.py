@@ -118,9 +118,9 @@ def _stretch_rows(docs: DataFrame, bits: np.ndarray | None) -> DataFrame:
 
 
 def _reference_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, content, doc, words) of wanted(key, content, n, doc, print, at) stretches, their words taken from the texts."""
+    """(key, content, doc, words, size) of wanted(key, content, n, doc, print, at, size) stretches, their words taken from the texts."""
     bits = bits_of(wanted, "print")
-    asked = wanted.groupBy("doc", "print").agg(F.collect_list(F.struct("key", "content", "at", "n")).alias("asked"))
+    asked = wanted.groupBy("doc", "print").agg(F.collect_list(F.struct("key", "content", "at", "n", "size")).alias("asked"))
 
     def near(batches):
         for b in batches:
@@ -131,15 +131,15 @@ def _reference_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             offsets, words = word_hashes(b.column(1))
             own = b.column(2)
             flat, of = own.flatten(), np.repeat(np.arange(b.num_rows), np.diff(own.offsets.to_numpy()))
-            key, content, at, n = flat.flatten()
+            key, content, at, n, of_shard = flat.flatten()
             first, size = at.to_numpy() + offsets[of], n.to_numpy() + WINDOW - 1
             ends = np.concatenate(([0], np.cumsum(size)))
             place = np.repeat(first - ends[:-1], size) + np.arange(ends[-1])
-            yield pa.RecordBatch.from_arrays([key, content, b.column(0).take(pa.array(of)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words[place].view(np.int64)))], ["key", "content", "doc", "words"])
+            yield pa.RecordBatch.from_arrays([key, content, b.column(0).take(pa.array(of)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words[place].view(np.int64))), of_shard], ["key", "content", "doc", "words", "size"])
 
     # rows that repeat hold the same words
     one = docs.mapInArrow(near, docs.schema).join(asked, ["doc", "print"]).dropDuplicates(["doc", "print"]).select("doc", "text", "asked")
-    return one.mapInArrow(run, "key long, content long, doc long, words array<bigint>")
+    return one.mapInArrow(run, "key long, content long, doc long, words array<bigint>, size long")
 
 
 #: What a stretch says of its windows: so many from one on are first held by the document of this id.
@@ -191,7 +191,7 @@ def owned_windows(docs: DataFrame, found: DataFrame) -> DataFrame:
     distinct = stash(found.groupBy("key", "content").agg(first.alias("f")).select("key", "content", "f.*"), "substring-stretches")
     sizes = distinct.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     sized = distinct.join(sizes, "key", "left").withColumn("size", F.coalesce("size", F.lit(1)))
-    words = stash(_reference_words(docs, sized.where("size > 1").drop("size")).join(sizes, "key"), "substring-references")
+    words = stash(_reference_words(docs, sized.where("size > 1")), "substring-references")
     # an automaton of a single stretch is a chain: its windows all begin in the document that holds it first
     alone = sized.where("size = 1").select("key", "content", F.array(F.struct(F.lit(0).cast("long").alias("from"), "n", F.col("doc").alias("least"))).alias("owned"))
     shards = words.where(F.col("size") <= SHARD).drop("size")
