@@ -23,11 +23,20 @@ PROBES = 8
 #: Parts of a vector, and codes of each.
 SUBSPACES, CODES = 16, 64
 ROUNDS = 8
-#: Vectors of a list on each side of one task's table; longer lists are dealt into blocks of about that many.
-BLOCK = 512
+#: Members and searchers of a list in one task's table; longer lists are dealt into blocks of about that many. A member is
+#: sent once for each block of searchers and a searcher once for each block of members, so blocks of the many are larger.
+BLOCK, SEARCHERS = 512, 1024
 SEED = 5
 
 
+def _squares(parts, shape) -> np.ndarray:
+    """The sum of squares of arrays of one shape, added in their order: each number is the same whatever else is in the arrays."""
+    out = np.zeros(shape)
+    for x in parts:
+        out += x * x
+    return out
+
+
 @dataclass(frozen=True)
 class Index:
     """centres: lists x d; codes: subspaces x CODES x (d / subspaces); error: the largest residual left by its code, of nearly all sampled vectors."""
@@ -52,7 +61,7 @@ class Index:
     def table(self, residuals: np.ndarray, m: int) -> np.ndarray:
         """Squared distances of one part of each residual to the codes of that part; a row's numbers don't depend on the other rows."""
         part = residuals.reshape(len(residuals), len(self.codes), -1)[:, m]
-        return np.concatenate([((p[:, None] - self.codes[m][None]) ** 2).sum(axis=2) for p in np.array_split(part, 1 + len(part) // 2048)])
+        return _squares((part[:, j : j + 1] - self.codes[m][:, j] for j in range(part.shape[1])), (len(part), len(self.codes[m])))
 
     def distances(self, queries: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Squared distances of exact residuals of queries to coded ones: one table per query, one look-up per subspace."""
@@ -66,7 +75,7 @@ class Index:
         out = np.zeros(len(queries))
         parts = queries.reshape(len(queries), len(self.codes), -1)
         for m, c in enumerate(self.codes):
-            out += ((parts[:, m] - c[codes[:, m]]) ** 2).sum(axis=1)
+            out += _squares((parts[:, m, j] - c[codes[:, m], j] for j in range(c.shape[1])), len(queries))
         return out
 
 
@@ -196,7 +205,7 @@ def linked(points: DataFrame, sizes: DataFrame, index: Index, cosine: float) ->
     pair of a block of members and one of searchers is a unit of its own.
     """
     probe = points.select("node", "n", "x", "lists", F.posexplode("lists").alias("place", "list"))
-    parts = sizes.select("list", F.greatest(F.ceil(F.col("members") / F.lit(BLOCK)), F.lit(1)).cast("int").alias("mp"), F.greatest(F.ceil(F.col("searchers") / F.lit(BLOCK)), F.lit(1)).cast("int").alias("qp"))
+    parts = sizes.select("list", F.greatest(F.ceil(F.col("members") / F.lit(BLOCK)), F.lit(1)).cast("int").alias("mp"), F.greatest(F.ceil(F.col("searchers") / F.lit(SEARCHERS)), F.lit(1)).cast("int").alias("qp"))
     dealt = probe.join(F.broadcast(parts), "list")  # at most LISTS rows
     hashed = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
     members = dealt.where("place = 0").select("list", hashed("mp", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("qp") - 1)).alias("j"), F.lit(0).alias("side"), "node", "n", "lists", "x")
