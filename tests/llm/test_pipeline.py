@@ -14,7 +14,7 @@ from tracewright.llm.secrets import secret_spans
 
 
 def test_queries_are_there():
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES if n != "pipeline"} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES if n != "pipeline"} == set(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES) and corpus_pipeline.ORACLE_SQL is None
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontamination", "secret_scan", "packing"]
 
