@@ -99,6 +99,13 @@ def test_readers_of_trees(spark, tmp_path):
     assert SC.json_lines(spark, str(tmp_path / "nowhere.jsonl")).count() == 0
 
 
+def test_a_call_has_a_most_of_files_a_table_has_none(spark):
+    known = spark.range(2 * SC.MOST_FILES).select(F.format_string("sub/%d.go", "id").alias("path"))
+    assert SC.expanded(known, ["sub", "*.php"]).count() == 2 * SC.MOST_FILES and SC.expanded(known, ["none"]).count() == 0
+    with pytest.raises(ValueError):
+        SC.expand(known, ["sub"])
+
+
 def test_transcripts(spark, tmp_path):
     d = tmp_path / "-home-me-app"
     d.mkdir()

@@ -151,10 +151,10 @@ def split_text(files: DataFrame, content: str = "content") -> tuple[DataFrame, D
     return files.where(ok), files.where(~ok)
 
 
-def expand(paths: DataFrame, inputs: list[str]) -> DataFrame:
-    """SC11: known paths that the inputs name: themselves, everything below a directory, or a glob; each once, in order of the inputs.
+def expanded(paths: DataFrame, inputs: list[str]) -> DataFrame:
+    """SC11: known paths that the inputs name: themselves, everything below a directory, or a glob; each once, in order of the inputs, however many.
 
-    Only extensions with a structure reader come from directories. No path, or more than MOST_FILES, is a ValueError.
+    Only extensions with a structure reader come from directories.
     """
     rank = None
     for k, i in enumerate(inputs):
@@ -163,11 +163,16 @@ def expand(paths: DataFrame, inputs: list[str]) -> DataFrame:
         else:
             hit = (F.col("path") == i) | (F.startswith("path", F.lit(i.rstrip("/") + "/")) & extension(F.col("path")).isin(*SOURCE_EXTENSIONS))
         rank = F.when(hit, k) if rank is None else rank.when(hit, k)
-    found = paths.withColumn("input", rank if rank is not None else F.lit(None)).where("input IS NOT NULL").dropDuplicates(["path"]).orderBy("input", "path")
+    return paths.withColumn("input", rank if rank is not None else F.lit(None)).where("input IS NOT NULL").dropDuplicates(["path"]).orderBy("input", "path").drop("input")
+
+
+def expand(paths: DataFrame, inputs: list[str]) -> DataFrame:
+    """SC11: expanded() for one call of a structure reader: no path, or more than MOST_FILES, is a ValueError."""
+    found = expanded(paths, inputs)
     n = found.limit(MOST_FILES + 1).count()
     if n == 0 or n > MOST_FILES:
         raise ValueError("no files" if n == 0 else f"more than {MOST_FILES} files")
-    return found.drop("input")
+    return found
 
 
 def split_arguments(args: list[str], known: set[str]) -> tuple[list[str], list[str]]:
