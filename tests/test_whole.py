@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracewright.operators import diffs, names, releases, sessions, structure
 from tracewright.operators.documents import Section, document, load_document, save_document
 from tracewright.operators.ordered import Ordered
-from tracewright.plans import source_queries
+from tracewright.plans import api_queries, source_queries
 from tracewright.sources import api_documents as A
 from tracewright.sources import files as SC
 
@@ -197,6 +197,22 @@ def test_review_documents(spark):
     assert [(r.name, r.published) for r in releases.latest_stable(versions).collect()] == [("a/b", "v1.10")]
 
 
+def test_documents_of_listings_are_bounded(spark, tmp_path):
+    """However many rows a repository, package or name has, a document holds a page of them; equal versions keep their order over pages."""
+    n = 4 * api_queries.PAGE
+    day = F.lit("2024-01-01").cast("timestamp")
+    spark.range(n).select(F.col("id").alias("o_orderkey"), (F.col("id") * 0).alias("o_custkey"), day.alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(n).select(F.col("id").alias("p_partkey"), F.lit("b").alias("p_brand"), F.lit(7).alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    held = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(api_queries, "as_files", lambda docs, label, real=api_queries.as_files: held.append(real(docs, label)) or held[-1])
+        assert api_queries.QUERIES["sc18_branches"](spark, str(tmp_path)).count() == n - n // 10
+        assert api_queries.QUERIES["sc18_runs"](spark, str(tmp_path)).first()["id"] == n - 1
+        first = min(k for k in range(n) if k % 7 == 6 and k % 17 and k % 5)
+        assert api_queries.QUERIES["sc17_versions"](spark, str(tmp_path)).first()["published"] == ("v" if first % 2 == 0 else "") + "7.6" + ("+meta" if first % 11 == 0 else ".0" if first % 13 == 0 else "")
+    assert all(d.agg(F.max(F.length("value"))).first()[0] < 250 * api_queries.PAGE for d in held) and [d.count() for d in held] == [4, 4 + n // 5, 4]
+
+
 def test_tag_listings(spark):
     local = spark.createDataFrame([("a", "v1.0\n"), ("b", " 2.0 "), ("c", ""), ("d", "3.0"), ("e", "1.0")], "dir string, line string")
     remote = spark.createDataFrame([("a", "abc\trefs/tags/v1.0"), ("a", "def\trefs/tags/v1.0^{}"), ("b", "abc\trefs/tags/2.0.1"), ("e", "")], "dir string, line string")

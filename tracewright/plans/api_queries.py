@@ -12,6 +12,8 @@ from tracewright.sources.shared import shared_path
 from tracewright.sources.stand_ins import table
 
 QUERIES, ORACLES = {}, {}
+#: Keys of the table that one page of a captured listing covers: a document holds a page at most, however large the table is.
+PAGE = 1000
 
 
 def query(name: str, sql: str):
@@ -60,12 +62,12 @@ def _(spark, sf):
     name = F.concat(F.lit("b"), k.cast("string"))
     pull = F.struct(k.cast("int").alias("number"), pick(k, "MERGED", "CLOSED", "OPEN", "").alias("state"))
     node = F.struct(name.alias("name"), F.struct(F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("committedDate")).alias("target"), F.struct(F.when(k % 4 < 3, F.array(pull)).otherwise(F.array().cast("array<struct<number:int,state:string>>")).alias("nodes")).alias("associatedPullRequests"))
-    # a repository comes in several documents; the branch whose number ends in 0 is a default branch of its own document
-    rows = o.select((c % 9).alias("r"), F.when(k % 10 == 0, k).otherwise(-1 - k % 7).alias("part"), k.alias("place"), name.alias("name"), node.alias("node"))
-    repos = rows.groupBy("r", "part").agg(listed("place", "node").alias("nodes"), F.min("name").alias("first"))
+    # a repository comes in several documents, one a page; the branch whose number ends in 0 is a default branch of its own entry
+    rows = o.select((c % 9).alias("r"), F.floor(k / PAGE).alias("page"), F.when(k % 10 == 0, k).otherwise(-1 - k % 7).alias("part"), k.alias("place"), name.alias("name"), node.alias("node"))
+    repos = rows.groupBy("r", "page", "part").agg(listed("place", "node").alias("nodes"), F.min("name").alias("first"))
     main = F.struct(F.when(F.col("part") >= 0, F.col("first")).otherwise("main").alias("name"))
     repo = F.struct(F.concat(F.lit("r"), F.col("r").cast("string")).alias("nameWithOwner"), (F.col("r") == 4).alias("isArchived"), main.alias("defaultBranchRef"), F.struct("nodes").alias("refs"))
-    docs = repos.select("r", repo.alias("repo")).groupBy("r").agg(F.collect_list("repo").alias("nodes")).select("r", F.to_json(F.struct(F.struct(F.struct(F.struct("nodes").alias("repositories")).alias("repositoryOwner")).alias("data"))).alias("value"))
+    docs = repos.select("r", "page", repo.alias("repo")).groupBy("r", "page").agg(F.collect_list("repo").alias("nodes")).select("r", F.to_json(F.struct(F.struct(F.struct(F.struct("nodes").alias("repositories")).alias("repositoryOwner")).alias("data"))).alias("value"))
     out = R.branches(A.branch_documents(as_files(docs, "branches")), F.lit(DQ.NOW).cast("timestamp"))
     return out.withColumn("deletable", C.deletable(F.col("branch"), F.col("status"), "closed"))
 
@@ -74,16 +76,16 @@ def _(spark, sf):
 def _(spark, sf):
     r = DQ.runs(spark, sf)
     node = F.struct(F.col("id").alias("databaseId"), "status", "conclusion", F.col("created").alias("createdAt"))
-    lists = r.where("id % 5 > 0").groupBy("pkg").agg(F.to_json(listed("id", node.alias("node"))).alias("value"))
+    lists = r.where("id % 5 > 0").groupBy("pkg", F.floor(F.col("id") / PAGE).alias("page")).agg(F.to_json(listed("id", node.alias("node"))).alias("value")).drop("page")
     single = r.where("id % 5 = 0").select("pkg", F.to_json(node).alias("value"))
     return R.ci_latest(A.run_documents(as_files(lists.unionByName(single), "runs"))).select("pkg", "id", "status", "conclusion", "created")
 
 
 @query("sc17_versions", DQ.ORACLES["a23_latest_stable"])
 def _(spark, sf):
-    v = DQ.versions(spark, sf).groupBy("name").agg(listed("ord", F.struct("version").alias("node")).alias("listed"))
+    v = DQ.versions(spark, sf).groupBy("name", F.floor(F.col("ord") / PAGE).alias("page")).agg(listed("ord", F.struct("version").alias("node")).alias("listed"))
     other = F.array(F.struct(F.lit("999.0").alias("version")))
-    docs = v.select("name", F.to_json(F.struct(F.map_from_arrays(F.array(F.lit("other/package"), F.col("name")), F.array(other, F.col("listed"))).alias("packages"))).alias("value"))
+    docs = v.select("name", "page", F.to_json(F.struct(F.map_from_arrays(F.array(F.lit("other/package"), F.col("name")), F.array(other, F.col("listed"))).alias("packages"))).alias("value"))
     return R.latest_stable(A.registry_documents(as_files(docs, "registry")))
 
 

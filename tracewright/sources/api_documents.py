@@ -60,9 +60,13 @@ def run_documents(docs: DataFrame) -> DataFrame:
 
 
 def registry_documents(docs: DataFrame) -> DataFrame:
-    """SC17: (name, version, ord) of docs(name, value): the versions that a registry's document lists for the package that was asked for, whatever else it lists."""
-    listed = parsed(docs, "name").select("name", F.element_at(field("v", "$.packages", "map<string,variant>"), F.col("name")).alias("v"))
-    return elements(listed, "$", "name").select("name", field("e", "$.version").alias("version"), F.col("at").cast("long").alias("ord")).where("version IS NOT NULL")
+    """SC17: (name, version, ord) of docs(name, value): the versions that a registry's document lists for the package that was asked for, whatever else it lists.
+
+    A listing of several documents has their numbers, from 0 on, as page: its versions are in the order of pages.
+    """
+    page = F.col("page") if "page" in docs.columns else F.lit(0)
+    listed = parsed(docs.withColumn("page", page.cast("long")), "name", "page").select("name", "page", F.element_at(field("v", "$.packages", "map<string,variant>"), F.col("name")).alias("v"))
+    return elements(listed, "$", "name", "page").select("name", field("e", "$.version").alias("version"), (F.col("page") * (1 << 32) + F.col("at")).alias("ord")).where("version IS NOT NULL")
 
 
 def tag_listings(described: DataFrame, remote: DataFrame) -> DataFrame:
