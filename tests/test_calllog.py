@@ -90,6 +90,20 @@ def test_busiest_window_against_brute_force(spark):
     assert (got.end, got.saved) == (best, totals[best])
 
 
+def test_busiest_window_runs_along_its_instants(spark):
+    """The start, too, by brute force, with ends of windows that meet; and no frame that is added up anew for each row."""
+    rng = random.Random(3)
+    base = datetime(2026, 1, 1)
+    for seconds, chunk in ((5, 1), (7, 2), (60, 16)):
+        rows = [(base + timedelta(seconds=rng.randrange(400)), rng.randrange(-2, 9)) for _ in range(150)]
+        df = L.busiest_window(spark.createDataFrame(rows, "at timestamp, saved long"), seconds, chunk)
+        got = df.first()
+        held = {end: [(t, s) for t, s in rows if end - timedelta(seconds=seconds) <= t <= end] for end, _ in rows}
+        best = min(held, key=lambda e: (-sum(s for _, s in held[e]), e))
+        assert (got.start, got.end, got.saved) == (min(t for t, _ in held[best]), best, sum(s for _, s in held[best]))
+        assert "RangeFrame" not in df._jdf.queryExecution().optimizedPlan().toString().replace("RangeFrame, unboundedpreceding", "")
+
+
 def brute_repeats(rows, seconds):
     out, state, count = {}, {}, {}
     for sid, fp, ts, tok, force, o in sorted(rows, key=lambda r: (r[2], r[5])):

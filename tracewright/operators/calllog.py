@@ -122,7 +122,8 @@ def busiest_window(points: DataFrame, seconds: int = QUOTA_SECONDS, chunk: int =
     """(start, end, saved) of the window of so many seconds (both ends included) that saved most; the earliest on a tie.
 
     points(at, saved) are summed by instant first. Instants are dealt by spans of `chunk` windows, each with
-    the window before it, so no task holds them all. No row if nothing was saved.
+    the window before it, so no task holds them all. Inside a span a sum runs over instants that come and those that go,
+    so that the work grows with the instants, not with how many a window holds. No row if nothing was saved.
     """
     width = seconds * 1_000_000
     span = width * chunk
@@ -130,8 +131,14 @@ def busiest_window(points: DataFrame, seconds: int = QUOTA_SECONDS, chunk: int =
     home = F.floor(F.col("us") / span)
     also = F.floor((F.col("us") + width) / span)
     dealt = sums.withColumn("span", F.explode(F.array_distinct(F.array(home, also)))).withColumn("own", F.col("span") == home)
-    over = W.partitionBy("span").orderBy("us").rangeBetween(-width, 0)
-    seen = dealt.select("own", "us", F.sum("saved").over(over).alias("total"), F.min("us").over(over).alias("from"))
+    following = dealt.withColumn("next", F.lead("us").over(W.partitionBy("span").orderBy("us")))
+    # an instant comes at its time and goes after the last window that holds it; the first one still there follows the last that went
+    none = F.lit(None).cast("long")
+    comes = F.struct("own", "us", F.lit(0).alias("gone"), "saved", F.col("us").alias("first"), none.alias("next"))
+    goes = F.struct(F.lit(False).alias("own"), (F.col("us") + width).alias("us"), F.lit(1).alias("gone"), (-F.col("saved")).alias("saved"), none.alias("first"), "next")
+    moves = following.select("span", F.explode(F.array(comes, goes)).alias("m")).select("span", "m.*")
+    over = W.partitionBy("span").orderBy("us", "gone").rowsBetween(W.unboundedPreceding, 0)
+    seen = moves.select("own", "us", F.sum("saved").over(over).alias("total"), F.coalesce(F.max("next").over(over), F.min("first").over(over)).alias("from"))
     best = seen.where("own AND total > 0").orderBy(F.desc("total"), "us").limit(1)
     return best.select(F.timestamp_micros("from").alias("start"), F.timestamp_micros("us").alias("end"), F.col("total").alias("saved"))
 
