@@ -202,6 +202,13 @@ def package_documents(docs: DataFrame) -> DataFrame:
     )
 
 
+def captured_packages(files: DataFrame, name: str = "composer.json") -> DataFrame:
+    """SC13: packages of captured files(path, value), many in one stored file: those called name, outside vendor, module and version control folders, with their directory."""
+    path = F.concat(F.lit("/"), F.col("path"))  # a captured path may have no folder above its own
+    named = files.where((F.substring_index("path", "/", -1) == name) & ~path.rlike("/(vendor|node_modules|[.]git)/"))
+    return package_documents(named.select(F.regexp_replace("path", "/?[^/]*$", "").alias("dir"), "value"))
+
+
 def packages(spark: SparkSession, root: str, name: str = "composer.json") -> DataFrame:
     """SC13: package files below root, outside vendor, module and version control folders, with their directory. name may be a glob."""
     docs = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(root)
