@@ -197,6 +197,25 @@ def test_review_documents(spark):
     assert [(r.name, r.published) for r in releases.latest_stable(versions).collect()] == [("a/b", "v1.10")]
 
 
+def test_captured_packages(spark, tmp_path):
+    """As many packages as rows, in as few files as tasks write; vendored and other files aren't packages."""
+    files = [("a/composer.json", '{"name":"x/a"}'), ("composer.json", '{"name":"x/top"}'), ("a/vendor/b/composer.json", '{"name":"x/b"}'), ("vendor/composer.json", '{"name":"x/c"}'), ("a/package.json", '{"name":"x/d"}'), ("e/composer.json", "[]"), ("f.git/composer.json", '{"name":"x/f"}')]
+    got = SC.captured_packages(spark.createDataFrame(files, "path string, value string")).collect()
+    assert {(r.name, r.dir) for r in got} == {("x/a", "a"), ("x/top", ""), ("x/f", "f.git")}
+    spark.range(1, 401).select(F.col("id").alias("s_suppkey")).coalesce(2).write.parquet(f"{tmp_path}/supplier.parquet")
+    p = source_queries.read_packages(spark, str(tmp_path))
+    assert p.count() == sum(1 for k in range(1, 401) if k % 10 and k % 11) and len(p.inputFiles()) <= 2
+
+
+def test_first_of_each_holds_no_group(spark, many_ranges):
+    rows = spark.createDataFrame([(("a", "b", None)[k % 3], k) for k in random.Random(4).sample(range(9000), 9000)], "dim string, ord int")
+    for limit in (5, 1500, 2999, 3000, 1 << 30):
+        cut = releases.first_of_each(rows, "dim", "ord", limit)
+        assert {(r.dim, r.n, r.last) for r in cut.groupBy("dim").agg(F.count("*").alias("n"), F.max("ord").alias("last")).collect()} == {(d, min(limit, 3000), 3 * (min(limit, 3000) - 1) + j) for j, d in enumerate(("a", "b", None))}
+        assert limit == 5 or "Window" not in plan(cut) or "partitionBy(dim" not in plan(cut)
+    assert "hashpartitioning(dim" not in plan(releases.first_of_each(rows, "dim", "ord", 1 << 30))
+
+
 def test_documents_of_listings_are_bounded(spark, tmp_path):
     """However many rows a repository, package or name has, a document holds a page of them; equal versions keep their order over pages."""
     n = 4 * api_queries.PAGE
