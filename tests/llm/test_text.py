@@ -351,6 +351,37 @@ def test_lines_of_a_template_go_copies_stay(spark):
     assert [got[100 + k] for k in range(3)] == [plain(b) for b in near.values()]
 
 
+def test_differencing_decides_inside_a_marked_article(spark):
+    """By brute force: of a marked article go the lines that both unlike neighbours and most pages of the host have; what few have stays, and copies do."""
+    rng = random.Random(5)
+    own = lambda k: [f"own sentence {k} {j} of this page" for j in range(6)]
+    stories = []
+    for k in range(30):
+        lines = own(k)
+        if k % 10 < 6:
+            lines.insert(rng.randrange(6), "read more from our desk")
+        if k in (6, 7, 8, 24):
+            lines.insert(0, "a line that one page quotes")
+        stories.append(["by the newsroom", *lines, "all rights are ours"])
+    stories[21] = [*stories[20][:5], "edited", *stories[20][6:]]  # a near copy
+    html = lambda lines: "<article>" + "".join(f"<p>{x}</p>" for x in lines) + "</article>"
+    rows = spark.createDataFrame([(k, f"http://h/n/{k:02}", html(x)) for k, x in enumerate(stories)], "page_id long, url string, html string")
+
+    def expected(k):
+        if k in (0, 29):  # one neighbour
+            return stories[k]
+        sides = [stories[k - 1], stories[k + 1]]
+        size = lambda x: sum(map(len, x))
+        both = [x for x in stories[k] if all(x in s for s in sides)]
+        if any(size([x for x in stories[k] if x in s]) >= html_text.COPY * max(size(stories[k]), size(s)) for s in sides):
+            return stories[k]
+        return [x for x in stories[k] if x not in both or 2 * sum(x in s for s in stories) <= len(stories)]
+
+    got = {r.page_id: r.text for r in html_text.main_text(rows).collect()}
+    assert got == {k: "\n".join(expected(k)) for k in range(30)}
+    assert "by the newsroom" not in got[3] and "by the newsroom" in got[20] and "a line that one page quotes" in got[7]
+
+
 @pytest.mark.parametrize(("a", "b"), [("abcde", "axcye"), ("", "a"), ("aaaa", "aa"), ("xaby", "zabw"), ("abcabba", "cbabac")])
 def test_shared_lines_are_a_longest_common_subsequence(a, b):
     at = html_text.shared_lines([ord(c) for c in a], [ord(c) for c in b])

@@ -177,10 +177,11 @@ def neighbours(pages: DataFrame) -> DataFrame:
     return ranged.withColumn("prev", F.lag(page).over(over)).withColumn("next", F.lead(page).over(over)).join(ends, "part").select("row", "host", "path", "lines", "sizes", F.coalesce("prev", "before").alias("prev"), F.coalesce("next", "after").alias("next"))
 
 
-def template_lines(page: dict) -> list[int]:
-    """Places of the lines of a page that its neighbours show to be its template's.
+def template_lines(page: dict) -> tuple[list[int], list[int]]:
+    """Places of the lines of a page that its neighbours show to be its template's, on a page that marks no article and inside a marked one.
 
-    They are those that it shares with the neighbour of the longer common path; on a tie, with the one that shares
+    Inside a marked article they are those that it shares with both neighbours, neither a near copy, for of_most_pages() to confirm: a few pages may tell or quote the same.
+    On a page without, they are those that it shares with the neighbour of the longer common path; on a tie, with the one that shares
     more characters, then with the earlier. If that one is a near copy, they are those that both neighbours
     share, unless both are near copies; with no other neighbour there are none.
     """
@@ -192,18 +193,17 @@ def template_lines(page: dict) -> list[int]:
             copy = size >= COPY * max(sum(page["sizes"]), sum(x["sizes"]))
             found.append((len(os.path.commonprefix([x["path"], page["path"]])), size, copy, at))
     if not found:
-        return []
+        return [], []
+    both = sorted(set(found[0][3]) & set(found[1][3])) if len(found) == 2 else []
+    inside = [] if any(f[2] for f in found) else both
     first = max(found, key=lambda f: f[:2])
     if not first[2]:
-        return first[3]
-    if len(found) == 2 and not all(f[2] for f in found):
-        both = set(found[0][3]) & set(found[1][3])
-        return sorted(both)
-    return []
+        return first[3], inside
+    return ([] if all(f[2] for f in found) else both), inside
 
 
 def shared_with_nearest(pages: DataFrame) -> DataFrame:
-    """(row, shared): places of the lines that each page shares with the page of the nearest path of its host (see template_lines).
+    """(row, shared, inside): places of the lines that each page shares with the pages of the nearest paths of its host (see template_lines).
 
     Pages of a host with the same lines count as one, at the first path of theirs, so that copies don't hide the other pages.
     """
@@ -212,33 +212,52 @@ def shared_with_nearest(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            found = [(r["row"], template_lines(r)) for r in b.to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in found], pa.int64()), pa.array([at for _, at in found], pa.list_(pa.int32()))], ["row", "shared"])
+            rows = b.to_pylist()
+            shared, inside = zip(*map(template_lines, rows), strict=True) if rows else ((), ())
+            held = [[r["lines"][k] for k in at] for r, at in zip(rows, inside, strict=True)]
+            columns = [pa.array([r["row"] for r in rows], pa.int64()), pa.array([r["host"] for r in rows], pa.string()), pa.array(shared, pa.list_(pa.int32())), pa.array(inside, pa.list_(pa.int32())), pa.array(held, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "host", "shared", "inside", "held"])
 
     firsts = stash(firsts, "pages-distinct")
-    found = neighbours(firsts.drop("same")).mapInArrow(run, "row long, shared array<int>").where(F.size("shared") > 0)
-    of_same = found.join(firsts.select("row", "same"), "row").select("same", "shared")
-    return keyed.select("row", "same").join(of_same, "same").select("row", "shared")
+    found = neighbours(firsts.drop("same")).mapInArrow(run, "row long, host string, shared array<int>, inside array<int>, held array<long>").where((F.size("shared") > 0) | (F.size("inside") > 0))
+    found = stash(found, "pages-shared")
+    found = found.select("row", "shared").join(of_most_pages(found, firsts), "row", "left")
+    of_same = found.join(firsts.select("row", "same"), "row").select("same", "shared", "inside")
+    return keyed.select("row", "same", "level").join(of_same, "same").drop("same")
+
+
+def of_most_pages(found: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(row, inside): of the places found inside, those of lines (held) that more than half of the host's pages (firsts) hold."""
+    asked = found.where(F.size("inside") > 0).select("row", "host", F.explode(F.arrays_zip("inside", "held")).alias("x")).select("row", "host", F.col("x.inside").alias("place"), F.col("x.held").alias("line"))
+    once = stash(asked.select("host", "line").distinct(), "pages-asked")  # written, so that its size is known where it meets all lines
+    lines = firsts.select("host", F.explode(F.array_distinct("lines")).alias("line")).join(once, ["host", "line"], "left_semi")
+    held = lines.groupBy("host", "line").agg(F.count("*").alias("n"))
+    of = firsts.groupBy("host").agg(F.count("*").alias("of"))
+    return asked.join(held, ["host", "line"]).join(of, "host").where("2 * n > of").groupBy("row").agg(F.collect_list("place").alias("inside"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages(page_id, url, html).
 
     Markup comes first: blocks in menus, headers, footers, asides, forms, adverts, notices and comments
-    go, and if a page marks its article (or else its main part), the text is that part's blocks. On a
-    page that marks neither, the lines that it shares with the page of the nearest URL of its host
-    that isn't a copy are its template and go. Lines of a marked article stay even where another page has them, as copies do.
+    go, and if a page marks its article (or else its main part), the text is of that part's blocks. Then every
+    page is aligned with those of the nearest URLs of its host. On a page that marks neither, the lines that it
+    shares with the nearest that isn't a copy are its template and go; inside a marked part, those that it shares
+    with the pages on both sides, neither a near copy, if more than half of the host's pages hold them: a sentence that
+    some articles share stays, as do copies.
     A null or empty page, or one without text, has text ''. Repeated rows are each reported, and pages
     without a URL are neighbours of each other. An empty table gives no rows.
     """
     bounded_batches(pages.sparkSession, rows=256)
     found = stash(parsed(pages), "pages-lines")
     keys = found.where(F.size("lines") > 0).select("row", "host", "path", F.transform("lines", lambda x: F.xxhash64(x)).alias("lines"), F.transform("lines", F.length).alias("sizes"), "level")
-    shared = shared_with_nearest(keys.drop("level"))
-    marked = found.where(F.col("level") > OPEN).select("page_id", "url", F.filter("lines", lambda x, k: F.get("kinds", k) == F.col("level")).alias("kept"))
-    unmarked = found.where(F.col("level") == OPEN).join(shared, "row", "left").select("page_id", "url", F.when(F.col("shared").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, k: ~F.array_contains("shared", k))).alias("kept"))
-    text = F.array_join("kept", "\n")
-    return marked.unionByName(unmarked).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+    shared = shared_with_nearest(keys)
+    template = shared.select("row", F.when(F.col("level") > OPEN, F.col("inside")).otherwise(F.col("shared")).alias("template")).where(F.size("template") > 0)
+    template = stash(template, "pages-template")  # written, so that texts aren't shuffled for the few pages of a small one
+    ours = found.select("row", "page_id", "url", "kinds", "lines", "level").join(template, "row", "left")
+    kept = F.filter("lines", lambda x, k: (F.get("kinds", k) == F.col("level")) & ~F.coalesce(F.array_contains("template", k), F.lit(False)))
+    text = F.array_join(kept, "\n")
+    return ours.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
