@@ -57,13 +57,14 @@ def _repeats(seconds: int, keep: int) -> StatefulProcessor:
             self.held = handle.getMapState("held", "fp string", "n bigint, tok bigint, ts bigint", keep)
 
         def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803  the names that Spark calls
-            count = self.rows.get()[0] if self.rows.exists() else 0
+            before = self.rows.get()  # each call of the state is a message; absent state is None
+            count = before[0] if before else 0
             known: dict[str, tuple | None] = {}
             for r in sorted(rows, key=lambda r: r["ord"]):
                 count += 1
                 fp = r["fp"]
                 if fp not in known:  # each fingerprint of a batch is read and written once
-                    known[fp] = tuple(self.held.getValue((fp,))) if self.held.containsKey((fp,)) else None
+                    known[fp] = self.held.getValue((fp,))
                 held = known[fp]
                 stub = held is not None and not r["force"] and 0 <= r["ts"] - held[2] < seconds
                 n, tok = held[:2] if stub else (count, r["tok"])
